@@ -9,6 +9,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -110,16 +111,16 @@ def _series(fn, *args: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _series(t_two_sided, t, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _series(chi2_sf, x, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_p_value(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     return _series(ks_sf, d, n1, n2)

@@ -45,19 +45,23 @@ def running_totals(
     keys = list(keys)
     if not keys:
         df, keys = df.withColumn(_ALL, F.lit(0)), [_ALL]
-    same = lambda left, right: [left[k].eqNullSafe(right[k]) for k in keys]
-
-    oversized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > split_rows)
-    oversized = oversized.select(*keys)
+    renamed = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    on_keys = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+
+    # the size test reads every column, so that all branches below share one shuffled input
+    touched = F.lit(True)
+    for m in [order, *measures]:
+        touched = touched & F.max(m).isNotNull()
+    large = (F.count(F.lit(1)) > split_rows) & touched
+    oversized = df.groupBy(*keys).agg(large.alias("_large")).filter("_large").select(*renamed)
     points = [i / ranges for i in range(1, ranges)]
     cuts = (
-        df.alias("r")
-        .join(oversized.alias("o"), [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys], "left_semi")
+        df.join(oversized, on_keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(order, points, max(10_000, 20 * ranges)).alias("_cuts"))
+        .agg(F.percentile_approx(order, points, max(10_000, 20 * ranges)).alias("_cuts"), touched.alias("_ok"))
+        .filter("_ok")
+        .select(*renamed, "_cuts")
     )
-    cuts = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")
-    on_cuts = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     steps = F.array(*[F.lit(s) for s in _search_steps(len(points))])
     place = F.aggregate(
         steps,
@@ -66,10 +70,10 @@ def running_totals(
             (at + s <= F.size("_cuts")) & (F.get(F.col("_cuts"), at + s - 1) < F.col(order)), at + s
         ).otherwise(at),
     )
-    ranged = (
-        df.join(cuts, on_cuts, "left")
-        .withColumn("_range", F.when(F.col("_cuts").isNotNull(), place).otherwise(0))
-        .drop("_cuts", *[f"_k{i}" for i in range(len(keys))])
+    ranged = df.join(cuts, on_keys, "left").select(
+        *df.columns,
+        F.col("_cuts").isNotNull().alias("_split"),
+        F.when(F.col("_cuts").isNotNull(), place).otherwise(0).alias("_range"),
     )
     inner = Window.partitionBy(*keys, "_range").orderBy(order, *(tie_order or []))
     inner = inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -77,19 +81,14 @@ def running_totals(
         {f"before_{m}": F.coalesce(F.sum(m).over(inner), F.lit(0)) for m in measures}
     )
     # range totals exist for split groups only: at most `ranges` rows for each of them
-    totals = (
-        ranged.alias("r")
-        .join(oversized.alias("o"), [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys], "left_semi")
-        .groupBy(*keys, "_range")
-        .agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    )
+    totals = ranged.filter("_split").groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     outer = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        *renamed,
         F.col("_range").alias("_kr"),
         *[F.coalesce(F.sum(f"_t_{m}").over(outer), F.lit(0)).alias(f"_o_{m}") for m in measures],
     )
-    joined = local.join(offsets, [*on_cuts, F.col("_range") == F.col("_kr")], "left")
+    joined = local.join(offsets, [*on_keys, F.col("_range") == F.col("_kr")], "left")
     return joined.select(
         *columns,
         *[(F.col(f"before_{m}") + F.coalesce(F.col(f"_o_{m}"), F.lit(0))).alias(f"before_{m}") for m in measures],
