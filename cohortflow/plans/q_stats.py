@@ -293,7 +293,7 @@ def st_iqr_drop(spark, folder):
     "st_iqr_null",
     """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, quantile_cont(user_id, 0.25) AS u1, quantile_cont(user_id, 0.75) AS u3 FROM events)
     SELECT event_id, CASE WHEN value BETWEEN q1 - 0.5 * (q3 - q1) AND q3 + 0.5 * (q3 - q1) THEN value END AS value,
-      CASE WHEN user_id BETWEEN u1 - 0.1 * (u3 - u1) * 5 AND u3 + 0.5 * (u3 - u1) THEN user_id END AS user_id FROM events, q""",
+      CASE WHEN user_id BETWEEN u1 - 0.5 * (u3 - u1) AND u3 + 0.5 * (u3 - u1) THEN user_id END AS user_id FROM events, q""",
 )
 def st_iqr_null(spark, folder):
     rows = fx.table(spark, folder, "events").select("event_id", "value", "user_id")
