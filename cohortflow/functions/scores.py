@@ -65,6 +65,6 @@ def cut_equal_width(df: DataFrame, column: str, bins: int = 5, out: str | None =
     edges = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi")).alias("edges")).scalar()
     x, lo, width = F.col(column), edges["lo"], (edges["hi"] - edges["lo"]) / bins
     # a column with one value has no width: everything sits in the middle bin
-    number = F.when(width > 0, F.greatest(F.ceil(F.try_divide(x - lo, width)), F.lit(1)))
-    number = F.coalesce(F.least(number, F.lit(bins)), F.when(x.isNotNull(), F.lit((bins + 1) // 2)))
-    return df.withColumn(out or f"{column}_bin", number.cast("int"))
+    inside = F.least(F.greatest(F.ceil(F.try_divide(x - lo, width)), F.lit(1)), F.lit(bins))
+    number = F.when(width > 0, inside).otherwise((bins + 1) // 2)
+    return df.withColumn(out or f"{column}_bin", F.when(x.isNotNull(), number).cast("int"))

@@ -130,6 +130,6 @@ def histogram(df: DataFrame, x: str, bins: int, split_by: list[str] = (), measur
     edge = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("e")).scalar()
     width = (edge["hi"] - edge["lo"]) / bins
     place = F.least(F.floor(F.try_divide(F.col(x) - edge["lo"], width)), F.lit(bins - 1)) + 1
-    rows = df.filter(F.col(x).isNotNull()).withColumn("bin", F.coalesce(place, F.lit(1)).cast("int"))
+    rows = df.filter(F.col(x).isNotNull()).withColumn("bin", F.when(width > 0, place).otherwise(1).cast("int"))
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.sum(measure).alias("total")] if measure else [])
     return rows.groupBy(*split_by, "bin").agg(*aggs)

@@ -69,7 +69,7 @@ def _blocks(points: DataFrame, keys: list[str], id_col: str, vec: str, carried:
 
 
 def block_pairs(
-    points: DataFrame, id_col: str, vec: str, keys: list[str] = (), carried: list[str] = (), reach: float | None = None, block_rows: int = BLOCK_ROWS
+    points: DataFrame, id_col: str, vec: str, keys: list[str] = (), carried: list[str] = (), reach: float | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """One row per pair of blocks to compare: keys, `a`, `b` (member arrays) and `same`.
 
@@ -78,7 +78,7 @@ def block_pairs(
     `id_col` must be unique within `keys`, which bounds the size of a block.
     """
     keys = list(keys)
-    blocks, counts = _blocks(points, keys, id_col, vec, list(carried), reach, block_rows)
+    blocks, counts = _blocks(points, keys, id_col, vec, list(carried), reach, block_rows or BLOCK_ROWS)
     near_bins = F.array(F.col("_ba"), F.col("_ba") + 1) if reach else F.array(F.col("_ba"))
     left = blocks.select(*keys, F.col("_bin").alias("_ba"), F.col("_sub").alias("_sa"), F.col("m").alias("a"))
     plan = left.select(*keys, "_ba", "_sa").withColumn("_bin", F.explode(near_bins)).join(counts, [*keys, "_bin"])

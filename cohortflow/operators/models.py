@@ -7,12 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -422,7 +421,7 @@ def compare_classifiers(
         "bagging": RandomForestClassifier(labelCol="y", numTrees=10, featureSubsetStrategy="all", seed=seed),
         "svm": rest(LinearSVC(maxIter=50)),
         "boosting": rest(GBTClassifier(maxIter=10, maxDepth=3, seed=seed)),
-        "bayes": Pipeline(stages=[MinMaxScaler(inputCol="features", outputCol="_unit"), NaiveBayes(labelCol="y", featuresCol="_unit")]),
+        "bayes": NaiveBayes(labelCol="y", modelType="gaussian"),
     }
     evaluator = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     rows = []

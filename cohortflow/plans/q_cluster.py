@@ -117,7 +117,7 @@ _MIN = 5
         *_DTW,
         f"eps AS (SELECT unnest({_EPS}) AS eps)",
         "nb AS (SELECT eps, id_a AS a, id_b AS b FROM dtw, eps WHERE dist <= eps UNION ALL SELECT eps, id_b, id_a FROM dtw, eps WHERE dist <= eps)",
-        f"core AS (SELECT eps, num_id FROM eps, wm LEFT JOIN nb USING (eps) WHERE nb.a = num_id GROUP BY 1, 2 HAVING count(*) + 1 >= {_MIN})",
+        f"core AS (SELECT eps, a AS num_id FROM nb GROUP BY 1, 2 HAVING count(*) + 1 >= {_MIN})",
         "cc AS (SELECT nb.eps, a, b FROM nb JOIN core x ON x.eps = nb.eps AND x.num_id = a JOIN core y ON y.eps = nb.eps AND y.num_id = b)",
     ).replace("WITH ", "WITH RECURSIVE ", 1)
     + """, walk AS (SELECT eps, num_id AS a, num_id AS b FROM core UNION SELECT w.eps, w.a, c.b FROM walk w JOIN cc c ON c.eps = w.eps AND c.a = w.b),
@@ -165,7 +165,7 @@ def cl_hier(spark, folder):
 
 @query("cl_hier_subjects")
 def cl_hier_subjects(spark, folder):
-    return cluster.subject_hierarchy(vectors(spark, folder), "vec_id", "vec", 10).select("vec_id", "label", "cluster")
+    return cluster.subject_hierarchy(trajectories(spark, folder), "num_id", "vec", 4, metric="dtw").select("num_id", "cluster")
 
 
 @query("cl_merge_table")

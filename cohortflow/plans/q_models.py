@@ -248,10 +248,10 @@ _PAST = "OVER (PARTITION BY num_id ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING
         f"""w AS (SELECT num_id, dt, all_mean, n_events, count(*) {_PAST} AS n, regr_slope(all_mean, n_events) {_PAST} AS b,
         regr_intercept(all_mean, n_events) {_PAST} AS a FROM sensor_day)""",
     )
-    + "SELECT num_id, dt, round(all_mean, 4) AS y, round(a + b * n_events, 4) + 0.0 AS prediction FROM w WHERE n >= 8 AND b IS NOT NULL AND NOT isnan(b)",
+    + "SELECT num_id, dt, round(all_mean, 8) AS y, round(a + b * n_events, 8) + 0.0 AS prediction FROM w WHERE n >= 8 AND b IS NOT NULL AND NOT isnan(b)",
 )
 def md_walk_linear(spark, folder):
-    return round_doubles(models.walk_forward_linear(fx.sensor_day(spark, folder), "n_events", "all_mean"), 4)
+    return round_doubles(models.walk_forward_linear(fx.sensor_day(spark, folder), "n_events", "all_mean"), 8)
 
 
 @query("md_walk")
