@@ -24,11 +24,10 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str] = (
             *keys, "id", F.col("component").alias("_old"), F.least("component", "_near").alias("component")
         )
         hop = lower.select(*keys, F.col("id").alias("component"), F.col("component").alias("_next"))
-        jumped = cut_lineage(
-            lower.join(hop, [*keys, "component"], "left").select(
-                *keys, "id", "_old", F.least("component", "_next").alias("component")
-            )
+        jumped = lower.join(hop, [*keys, "component"], "left").select(
+            *keys, "id", "_old", F.least("component", "_next").alias("component")
         )
+        jumped = cut_lineage(jumped)
         labels = jumped.drop("_old")
         if jumped.filter(F.col("_old") != F.col("component")).isEmpty():
             return labels

@@ -16,6 +16,7 @@ from ..session import cut_lineage
 from .aggregates import observed_share
 from .ordering import below_cut, hash_cut, unpivot
 from .stats import ks_two_sample
+from .timeline import require_panel
 
 # ------------------------------------------------------------------- masking
 
@@ -216,6 +217,7 @@ def forest_impute_subjects(
     Needs a panel (unique subject and date), so a group holds at most one row per calendar day.
     Every row and key is kept.
     """
+    require_panel(panel, key, time)
     gates = subject_gates(panel, cols, key, min_rows, min_observed).select(key, "passes")
     rows = panel.withColumns({c: F.col(c).cast("double") for c in cols}).join(gates, key)
     schema = StructType([*[f for f in rows.schema.fields if f.name != "passes"], StructField("imputed", DoubleType()), StructField("impute_r2", DoubleType())])

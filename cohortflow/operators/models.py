@@ -23,6 +23,7 @@ from ..session import cut_lineage
 from .distance import METRICS, block_pairs, map_pairs
 from .splits import kfold, random_split, tail_holdout
 from .stats import auc, regression_metrics
+from .timeline import require_panel
 
 # --------------------------------------------------------------------- trees
 
@@ -107,6 +108,7 @@ def walk_forward_subjects(
     Panel rows per subject are bounded by the calendar, so one subject fits one task.
     """
     rows = panel.select(key, time, *[F.col(c).cast("double").alias(c) for c in cols], F.col(target).cast("double").alias("y"))
+    require_panel(panel, key, time)
     rows = rows.na.drop(subset=[*cols, "y"])
     schema = StructType([rows.schema[key], rows.schema[time], StructField("y", DoubleType()), StructField("prediction", DoubleType())])
 
@@ -261,12 +263,13 @@ def randomized_logistic(
 
 def logistic_subjects(
     panel: DataFrame, cols: list[str], target: str, key: str = "num_id", train: tuple[int, int] = (0, 50), val: tuple[int, int] = (61, 80),
-    day: str = "day", steps: int = 25, ridge: float = 1e-2,
+    day: str = "day", time: str = "dt", steps: int = 25, ridge: float = 1e-2,
 ) -> DataFrame:
     """One logistic unit per subject, fitted on train days and scored on validation days.
 
     Newton steps on at most one row per calendar day of a subject.
     """
+    require_panel(panel, key, time)
     inputs = [f"_x{i}" for i in range(len(cols))]
     rows = panel.select(key, day, *[F.col(c).cast("double").alias(x) for c, x in zip(cols, inputs)], F.col(target).cast("double").alias("y"))
     rows = rows.na.drop(subset=[*inputs, "y"]).filter(F.col(day).between(*train) | F.col(day).between(*val))

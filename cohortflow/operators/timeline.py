@@ -9,6 +9,7 @@ subject or one day may hold a third of the table. Raw operators cut each group i
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DateType
 
 from ..functions.numeric import strict_slope
 
@@ -25,16 +26,32 @@ def time_slot(time: str, seconds: int) -> Column:
     return F.floor(micros(time) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def with_group(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
-    """Attach group aggregates. Partial aggregation plus a join that can be split on hot keys,
-    instead of a window that would gather each group."""
+def with_group(df: DataFrame, keys: list[str], panel: bool = False, **aggs: Column) -> DataFrame:
+    """Attach group aggregates.
+
+    Raw rows: partial aggregation plus a join that can be split on hot keys, instead of a window
+    that would gather each group. A panel's groups are bounded, so there one window does it, and
+    later per-subject steps reuse its partitioning.
+    """
+    if panel:
+        group = Window.partitionBy(*keys)
+        return df.withColumns({name: a.over(group) for name, a in aggs.items()})
     stats = df.groupBy(*keys).agg(*[a.alias(name) for name, a in aggs.items()])
     return df.join(stats, keys, "left")
 
 
-def assign_week(df: DataFrame, key: str = "num_id", time: str = "dt", out: str = "week") -> DataFrame:
+def require_panel(df: DataFrame, key: str = "num_id", time: str = "dt") -> None:
+    """Stop unless every (subject, date) occurs once: the bound that lets a subject be one group."""
+    if not isinstance(df.schema[time].dataType, DateType):
+        raise ValueError(f"{time} must be a date: collapse the readings of a day first")
+    twice = df.groupBy(key, time).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    if not twice.isEmpty():
+        raise ValueError(f"several rows share {key} and {time}: collapse them first")
+
+
+def assign_week(df: DataFrame, key: str = "num_id", time: str = "dt", out: str = "week", panel: bool = False) -> DataFrame:
     """Whole 7-day blocks of 24 hours since the subject's first reading."""
-    first = with_group(df, [key], _first=F.min(time))
+    first = with_group(df, [key], panel, _first=F.min(time))
     elapsed = micros(time) - micros("_first")
     return first.withColumn(out, F.floor(elapsed / F.lit(7 * DAY_SECONDS * 1_000_000)).cast("int")).drop("_first")
 
@@ -254,8 +271,8 @@ def slopes(df: DataFrame, cols: list[str], x: str = "day", keys: list[str] = ("n
     return df.groupBy(*keys).agg(*[strict_slope(x, c).alias(f"{c}_slope") for c in cols])
 
 
-def person_centered(df: DataFrame, cols: list[str], key: str = "num_id") -> DataFrame:
-    centred = with_group(df, [key], **{f"_m_{c}": F.avg(c) for c in cols})
+def person_centered(df: DataFrame, cols: list[str], key: str = "num_id", panel: bool = False) -> DataFrame:
+    centred = with_group(df, [key], panel, **{f"_m_{c}": F.avg(c) for c in cols})
     return centred.withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in cols}).drop(*[f"_m_{c}" for c in cols])
 
 

@@ -42,7 +42,7 @@ def sensor_day(spark, folder) -> DataFrame:
         F.avg("value").alias("all_mean"),
         F.count(F.lit(1)).cast("double").alias("n_events"),
     )
-    return assign_day(assign_week(daily))
+    return assign_day(assign_week(daily, panel=True))
 
 
 def sensor_grid(spark, folder) -> DataFrame:

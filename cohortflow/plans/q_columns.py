@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numeric, scores
 from ..operators import encoding, joins, ordering, projection
 from ..operators.aggregates import group_median
 from ..operators.transform import boxcox_expr, log1p_columns
+from ..session import ensure_checkpoint_dir
 from ..sources import tables, variables
 from . import fixtures as fx
 from .registry import query, r6, round_doubles, sql_round
@@ -40,6 +43,34 @@ def src_index_clean(spark, folder):
     return tables.drop_index_columns(day)
 
 
+def _shared_folder(spark):
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
+@query("src_csv", "SELECT event_id, user_id, event_type, value FROM events")
+def src_csv(spark, folder):
+    """Written as CSV, read back with a declared schema."""
+    events = fx.table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    path = tables.save_table(events, _shared_folder(spark), "events", fmt="csv")
+    return tables.read_csv(spark, path, "event_id long, user_id long, event_type string, value double")
+
+
+@query("snk_csv", fx.with_views(fx.SENSOR_DAY) + "SELECT week, count(*) AS n, count(v_click) AS clicks FROM sensor_day GROUP BY 1")
+def snk_csv(spark, folder):
+    """Missing cells survive the round trip as missing."""
+    day = fx.sensor_day(spark, folder).select("num_id", "week", "v_click")
+    path = tables.save_table(day, _shared_folder(spark), "v1_day", fmt="csv")
+    back = tables.read_csv(spark, path, "num_id long, week int, v_click double")
+    return back.groupBy("week").agg(F.count(F.lit(1)).alias("n"), F.count("v_click").alias("clicks"))
+
+
+@query("snk_json", "SELECT count(*) AS n_rows, round(avg(value), 6) AS mean_value FROM events")
+def snk_json(spark, folder):
+    row = fx.table(spark, folder, "events").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("value")).alias("mean_value")).first()
+    return spark.read.schema("n_rows long, mean_value double").json(tables.save_json_row(spark, row.asDict(), _shared_folder(spark), "summary"))
+
+
 # --------------------------------------------------------------- projections
 
 

@@ -245,13 +245,14 @@ _PAST = "OVER (PARTITION BY num_id ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING
     "md_walk_linear",
     fx.with_views(
         fx.SENSOR_DAY,
-        f"""w AS (SELECT num_id, dt, all_mean, n_events, count(*) {_PAST} AS n, regr_slope(all_mean, n_events) {_PAST} AS b,
-        regr_intercept(all_mean, n_events) {_PAST} AS a FROM sensor_day)""",
+        f"""w AS (SELECT num_id, dt, ln(all_mean + 1) AS y, n_events, count(*) {_PAST} AS n, regr_slope(ln(all_mean + 1), n_events) {_PAST} AS b,
+        regr_intercept(ln(all_mean + 1), n_events) {_PAST} AS a FROM sensor_day)""",
     )
-    + "SELECT num_id, dt, round(all_mean, 8) AS y, round(a + b * n_events, 8) + 0.0 AS prediction FROM w WHERE n >= 8 AND b IS NOT NULL AND NOT isnan(b)",
+    + "SELECT num_id, dt, round(y, 6) AS y, round(a + b * n_events, 6) + 0.0 AS prediction FROM w WHERE n >= 8 AND b IS NOT NULL AND NOT isnan(b)",
 )
 def md_walk_linear(spark, folder):
-    return round_doubles(models.walk_forward_linear(fx.sensor_day(spark, folder), "n_events", "all_mean"), 8)
+    day = fx.sensor_day(spark, folder).withColumn("log_mean", F.log(F.col("all_mean") + 1))
+    return round_doubles(models.walk_forward_linear(day, "n_events", "log_mean"))
 
 
 @query("md_walk")

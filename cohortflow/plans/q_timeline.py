@@ -169,7 +169,7 @@ def ts_slope(spark, folder):
 
 @query("ts_center", fx.with_views(fx.SENSOR_DAY) + "SELECT num_id, dt, round(all_mean - avg(all_mean) OVER (PARTITION BY num_id), 8) + 0.0 AS all_mean FROM sensor_day")
 def ts_center(spark, folder):
-    return round_doubles(timeline.person_centered(fx.sensor_day(spark, folder).select("num_id", "dt", "all_mean"), ["all_mean"]), 8)
+    return round_doubles(timeline.person_centered(fx.sensor_day(spark, folder).select("num_id", "dt", "all_mean"), ["all_mean"], panel=True), 8)
 
 
 @query(
