@@ -257,9 +257,9 @@ def st_network(spark, folder):
     return round_doubles(stats.network_edges(edges, 0.2, scale=True))
 
 
-@query("st_var_threshold", fx.with_views(fx.LINEITEM) + "SELECT * FROM (" + _long(LI, "round(var_pop({c}), 6) AS variance", "li") + ") WHERE variance > 0.005")
+@query("st_var_threshold", fx.with_views(fx.LINEITEM) + "SELECT * FROM (" + _long(LI, "round(var_pop({c}), 2) AS variance", "li") + ") WHERE variance > 0.005")
 def st_var_threshold(spark, folder):
-    return round_doubles(stats.variance_kept(fx.lineitem(spark, folder), LI, 0.005))
+    return round_doubles(stats.variance_kept(fx.lineitem(spark, folder), LI, 0.005), 2)
 
 
 _PRUNE = ["quantity", "price", "double_quantity", "tax"]
