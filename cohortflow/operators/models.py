@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.small_forest import forest_predict
 from ..session import cut_lineage
@@ -324,12 +324,13 @@ def train_svm(df: DataFrame, cols: list[str], target: str, kernel: str = "linear
         w = rng.normal(0.0, np.sqrt(2 * gamma), (len(cols), n_random))
         shift = rng.uniform(0, 2 * np.pi, n_random)
 
+        @F.pandas_udf(ArrayType(DoubleType()))
+        def waves(x: pd.DataFrame) -> pd.Series:
+            return pd.Series(list(np.sqrt(2.0 / n_random) * np.cos(x.to_numpy(float) @ w + shift)))
+
         def features(rows: DataFrame) -> DataFrame:
-            waves = []
-            for j in range(n_random):
-                angle = reduce(lambda a, b: a + b, [F.col(x) * float(w[i, j]) for i, x in enumerate(cols)], F.lit(float(shift[j])))
-                waves.append(F.cos(angle) * float(np.sqrt(2.0 / n_random)))
-            return rows.withColumn("features", array_to_vector(F.array(*waves)))
+            inputs = F.struct(*[F.col(c).cast("double").alias(c) for c in cols])
+            return rows.withColumn("features", array_to_vector(waves(inputs)))
 
     else:
         raise ValueError(f"unknown kernel {kernel}")
