@@ -12,6 +12,8 @@ from .registry import query, r6, round_doubles, sql_round
 
 LI = ["quantity", "price", "discount", "tax"]
 KEYS = ["l_orderkey", "l_linenumber"]
+# order and line number repeat in the given table; these columns together identify a row
+ROW = ["l_orderkey", "l_linenumber", "l_partkey", "num_id", "dt"]
 DOC = ["n_chars", "n_words", "toxic"]
 
 
@@ -193,7 +195,7 @@ def im_gates_col(spark, folder):
 
 def _gappy(spark, folder):
     """Line items with related columns; a tenth of the totals is missing."""
-    rows = fx.lineitem(spark, folder).withColumn("idx", F.xxhash64(*KEYS))
+    rows = fx.lineitem(spark, folder).withColumn("idx", F.xxhash64(*ROW))
     cut = ordering.hash_cut(rows, F.xxhash64("idx", F.lit(7)), ["idx"], F.floor(F.col("total") / 10))
     gone = ordering.below_cut(F.xxhash64("idx", F.lit(7)), ["idx"], cut)
     rows = rows.withColumn("charge", F.when(~gone, F.col("price") * (1 + F.col("tax"))))
@@ -269,7 +271,7 @@ def md_walk_stacked(spark, folder):
 
 @query("md_dt_reg")
 def md_dt_reg(spark, folder):
-    return round_doubles(models.tree_regressor(fx.lineitem(spark, folder), ["quantity", "discount", "tax"], "price", KEYS, folds=3))
+    return round_doubles(models.tree_regressor(fx.lineitem(spark, folder), ["quantity", "discount", "tax"], "price", ROW, folds=3))
 
 
 @query("md_dt_cls")

@@ -122,12 +122,12 @@ def ts_lag(spark, folder):
 
 @query(
     "ts_lag_raw",
-    "SELECT l_orderkey, l_linenumber, l_suppkey AS num_id, lag(l_quantity, 3) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS quantity_lag3 FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_suppkey AS num_id, lag(l_quantity, 3) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS quantity_lag3 FROM lineitem",
 )
 def ts_lag_raw(spark, folder):
-    rows = fx.lineitem(spark, folder).select("num_id", "dt", "l_orderkey", "l_linenumber", "quantity")
+    rows = fx.lineitem(spark, folder).select("num_id", "dt", "l_orderkey", "l_linenumber", "l_partkey", "quantity")
     lagged = timeline.add_lag(
-        rows, ["quantity"], 3, order=["dt", "l_orderkey", "l_linenumber"], slot=timeline.time_slot("dt", 30 * timeline.DAY_SECONDS)
+        rows, ["quantity"], 3, order=["dt", "l_orderkey", "l_linenumber", "l_partkey"], slot=timeline.time_slot("dt", 30 * timeline.DAY_SECONDS)
     )
     return lagged.select("l_orderkey", "l_linenumber", "num_id", "quantity_lag3")
 
@@ -241,8 +241,9 @@ def sp_group(spark, folder):
 
 @query("sp_random", "WITH n AS (SELECT count(*) AS n FROM lineitem) " + _SPLIT_SIZES.format(t=0.2, v=0.15))
 def sp_random(spark, folder):
-    rows = fx.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
-    return splits.random_split(rows, ["l_orderkey", "l_linenumber"]).groupBy("split").agg(F.count(F.lit(1)).alias("size"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    rows = fx.table(spark, folder, "lineitem").select(*keys)
+    return splits.random_split(rows, keys).groupBy("split").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query("sp_kfold")
