@@ -30,7 +30,7 @@ def mask_cells(df: DataFrame, cols: list[str], idx: str = "idx", share: float =
 
     The observed cells with the smallest hash are hidden, so the choice is reproducible, without
     replacement and needs no join: a cell only compares its hash with one scalar.
-    Returns the masked table and the hidden cells (idx, variable, value).
+    `idx` must identify a row. Returns the masked table and the hidden cells (idx, variable, value).
     """
     cells = unpivot(df, [idx], cols).filter(F.col("value").isNotNull())
     rows = df.agg(F.count(F.lit(1)).alias("n")).scalar()

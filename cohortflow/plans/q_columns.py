@@ -149,6 +149,13 @@ def flt_overlap_check(spark, folder):
     return projection.shared_keys(orders, users, ["num_id"])
 
 
+@query("set_intersect", "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_intersect(spark, folder):
+    customers = fx.table(spark, folder, "customer").select(F.col("c_nationkey").alias("nation"))
+    suppliers = fx.table(spark, folder, "supplier").select(F.col("s_nationkey").alias("nation"))
+    return projection.shared_keys(customers, suppliers, ["nation"])
+
+
 # ---------------------------------------------------------- scalar functions
 
 _K = "(CAST(props->>'$.k' AS INT) - 8) / 2.0"
