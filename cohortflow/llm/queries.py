@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_mixing, q_orc_tokens, q_packing, q_quality  # noqa: F401
+from . import q_iblt, q_lattice, q_mixing, q_ngram_trie, q_orc_tokens, q_packing, q_quality, q_simhash, q_style_tree, q_suffix_radix  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortflow.llm import mixing, packing, quality
+from cohortflow.llm import mixing, packing, quality, simhash_bk, suffix_radix
 from cohortflow.llm.common import id_crc, table
 from cohortflow.session import cut_lineage
 
@@ -16,6 +16,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, model)
 
 
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each SimHash component.
+    """
+    return simhash_bk.keep_one(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 50 bytes and more that also stand in a document with a smaller id."""
+    return suffix_radix.remove_repeats(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources come near their target weights."""
     return mixing.mix(docs)
@@ -28,6 +39,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality_discriminant", quality_stage),
+    ("simhash_bk_trees", near_copy_stage),
+    ("suffix_radix_sort", passage_stage),
     ("source_mixing", mixing_stage),
     ("best_fit_packing", packing_stage),
 ]
