@@ -99,6 +99,8 @@ class Page(HTMLParser):
             self.anchor.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.silent == ["head"] and tag in BLOCKS:  # the head was not closed
+            self.silent.clear()
         if self.silent:
             if tag not in VOID:
                 self.silent.append(tag)
