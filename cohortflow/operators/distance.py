@@ -151,6 +151,20 @@ def distance_edges(points: DataFrame, id_col: str, vec: str, metric: str = "eucl
     return map_pairs(block_pairs(points, id_col, vec, reach=within), [], schema, work)
 
 
+def distance_stats(points: DataFrame, id_col: str, vec: str, metric: str = "euclidean") -> DataFrame:
+    """Smallest, largest and mean entry of the full matrix, zero diagonal included; a block pair returns three numbers."""
+    measure = METRICS[metric]
+    schema = StructType([StructField(n, DoubleType()) for n in ("low", "high", "total", "entries")])
+
+    def work(a, b, same):
+        d = measure(a.v, b.v)
+        return [d.min()], [d.max()], [d.sum() * (1 if same else 2)], [float(d.size) * (1 if same else 2)]
+
+    reduced = map_pairs(block_pairs(points, id_col, vec), [], schema, work)
+    found = reduced.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.sum("entries").alias("entries"))
+    return found.select(F.least("low", F.lit(0.0)).alias("min"), F.col("high").alias("max"), F.try_divide("total", "entries").alias("mean"))
+
+
 def edge_stats(edges: DataFrame, n_points) -> DataFrame:
     """Smallest, largest and mean entry of the full matrix, zero diagonal included."""
     return edges.agg(

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .ordering import position
+from .ordering import text_position
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values numbered from 0; missing is its own last class.
 
-    Only distinct values are ranked. A seven-byte prefix, read as a number, is the coarse order.
+    Only distinct values are ranked, in ranges of the whole value.
     """
     values = df.select(F.col(column).cast("string").alias("value")).distinct()
     known = values.filter(F.col("value").isNotNull())
-    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("value", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    ranked = position(known.withColumn("_p", prefix), [], "_p", ["value"], out="_rank")
+    ranked = text_position(known, "value", out="_rank")
     total = known.agg(F.count(F.lit(1)).alias("n")).scalar()
     codes = ranked.select("value", (F.col("_rank") - 1).cast("bigint").alias("code"))
     missing = values.filter(F.col("value").isNull()).select("value", total.cast("bigint").alias("code"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 
 def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str] = (), id_col: str = "id") -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str] = (
     keys = list(keys)
     both = links.select(*keys, "a", "b").unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.distinct())
-    labels = cut_lineage(nodes.select(*keys, F.col(id_col).alias("id"), F.col(id_col).alias("component")))
+    known = labels = cut_lineage(nodes.select(*keys, F.col(id_col).alias("id"), F.col(id_col).alias("component")))
     while True:
         seen = labels.select(*keys, F.col("id").alias("b"), F.col("component").alias("_near"))
         nearest = both.join(seen, [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("_near").alias("_near"))
@@ -27,9 +27,12 @@ def connected_components(nodes: DataFrame, links: DataFrame, keys: list[str] = (
         jumped = lower.join(hop, [*keys, "component"], "left").select(
             *keys, "id", "_old", F.least("component", "_next").alias("component")
         )
-        jumped = cut_lineage(jumped)
-        labels = jumped.drop("_old")
-        if jumped.filter(F.col("_old") != F.col("component")).isEmpty():
+        before, jumped = known, cut_lineage(jumped)
+        known, labels = jumped, jumped.drop("_old")
+        done = jumped.filter(F.col("_old") != F.col("component")).isEmpty()
+        release(before)  # the rows of the round before are no longer read
+        if done:
+            release(both)
             return labels
 
 

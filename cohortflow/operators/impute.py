@@ -13,7 +13,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.small_forest import forest_predict
 from ..session import cut_lineage
-from .aggregates import observed_share
 from .ordering import below_cut, hash_cut, unpivot
 from .stats import ks_two_sample
 from .timeline import require_panel
@@ -25,6 +24,12 @@ def _cell_hash(column, idx: str, seed: int):
     return F.xxhash64(F.col(idx), column, F.lit(seed))
 
 
+def require_unique(df: DataFrame, idx: str) -> None:
+    twice = df.groupBy(idx).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{idx} = {twice[0][0]!r} identifies {twice[0][1]} rows")
+
+
 def mask_cells(df: DataFrame, cols: list[str], idx: str = "idx", share: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Hide an exact number of observed cells: floor(rows * columns * share).
 
@@ -154,9 +159,11 @@ def forest_impute(
 ) -> tuple[DataFrame, DataFrame]:
     """Impute if a masked trial run is good enough; returns the table and one status row.
 
-    Observed values are never replaced. Empty and complete columns are left alone.
+    Observed values are never replaced. Empty and complete columns are left alone. `idx` must identify a row: a value
+    that two rows share is an error, for rows are joined by it.
     """
     spark = df.sparkSession
+    require_unique(df, idx)
     counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in cols]).first()
     usable = [c for c in cols if 0 < counts[c] < counts["n"]]
 
@@ -188,7 +195,8 @@ def forest_impute_columns(
     df: DataFrame, cols: list[str], predictors: list[str] | None = None, idx: str = "idx", max_missing: float = 0.3, min_r2: float = 0.8,
     share: float = 0.1, rounds: int = 2, trees: int = 20, depth: int = 8, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """One column at a time, the other columns as predictors; status row per column."""
+    """One column at a time, the other columns as predictors; status row per column. `idx` must identify a row."""
+    require_unique(df, idx)
     predictors = predictors or cols
     gates = {r["variable"]: r for r in column_gates(df, cols, max_missing).collect()}
     out, report = df, []

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.small_forest import forest_predict
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .distance import METRICS, block_pairs, map_pairs
 from .splits import kfold, random_split, tail_holdout
 from .stats import auc, regression_metrics
@@ -57,6 +57,19 @@ def tree_regressor(df: DataFrame, cols: list[str], target: str, keys: list[str],
     return df.sparkSession.createDataFrame(rows, "split string, cv_mse double, mae double, r2 double, n_rows bigint")
 
 
+def _class_codes(data: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Labels `y` replaced by 0..k-1 in their order, and the labels: learners need codes, tables may hold -1 and 1."""
+    names = sorted(r["y"] for r in data.select("y").distinct().collect())
+    if names == [float(i) for i in range(len(names))]:
+        return data, names
+    code = F.create_map(*[F.lit(x) for i, v in enumerate(names) for x in (v, float(i))]) if names else F.lit(None)
+    return data.withColumn("y", code[F.col("y")] if names else F.col("y")), names
+
+
+def _class_names(codes: list[float], column: str):
+    return F.create_map(*[F.lit(x) for i, v in enumerate(codes) for x in (float(i), v)])[F.col(column)]
+
+
 def balanced_weights(df: DataFrame, label: str = "y", out: str = "weight") -> DataFrame:
     """n / (classes * class size), as one small aggregate joined back."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
@@ -137,6 +150,8 @@ def walk_forward_blocks(df: DataFrame, cols: list[str], target: str, block: str
             continue
         model = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=trees, seed=seed).fit(train)
         parts.append(model.transform(data.filter(F.col(block) == b)).select(*keys, block, "y", "prediction"))
+    if not parts:
+        return data.select(*keys, block, "y", F.lit(None).cast("double").alias("prediction")).limit(0)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -207,8 +222,13 @@ def mixed_model(df: DataFrame, cols: list[str], target: str, group: str) -> Data
         loglik = -0.5 * ((total - p) * (np.log(2 * np.pi * sigma2) + 1) + logdet + np.linalg.slogdet(m[:p, :p])[1])
         return loglik, beta, sigma2, m[:p, :p]
 
-    grid = np.concatenate([[0.0], np.logspace(-6, 4, 201)])
-    best = int(np.argmax([profile(r)[0] for r in grid]))
+    decades = 4
+    while True:  # further out while the best ratio is the largest tried
+        grid = np.concatenate([[0.0], np.logspace(-6, decades, 20 * (decades + 6) + 1)])
+        best = int(np.argmax([profile(r)[0] for r in grid]))
+        if best < len(grid) - 1 or decades >= 12:
+            break
+        decades += 2
     low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
     for _ in range(100):
         a, b = low + (high - low) / 3, high - (high - low) / 3
@@ -236,7 +256,9 @@ def randomized_logistic(
     data = _assembled(df, cols, target, keys).persist()
     steps, level = [], np.exp(-0.7)
     cumulative, term = 0.0, level
-    for k in range(8):
+    k = -1
+    while 1.0 - cumulative > 1e-7:  # beyond the resolution of the hash
+        k += 1
         cumulative += term
         steps.append(cumulative)
         term *= 0.7 / (k + 1)
@@ -385,8 +407,8 @@ def adaboost(df: DataFrame, cols: list[str], target: str, keys: list[str], round
 
     Every round fits one weighted tree; the weight update is a column expression.
     """
-    data = _assembled(df, cols, target, keys)
-    classes = int(data.agg(F.max("y")).first()[0]) + 1
+    data, names = _class_codes(_assembled(df, cols, target, keys))
+    classes = len(names)
     current = cut_lineage(data.withColumns({"weight": F.lit(1.0), **{f"_vote_{c}": F.lit(0.0) for c in range(classes)}}))
     report = []
     for r in range(rounds):
@@ -402,20 +424,47 @@ def adaboost(df: DataFrame, cols: list[str], target: str, keys: list[str], round
         scale = stats["n"] / (stats["w"] * (1 - error) + stats["w"] * error * np.exp(alpha))
         update = {"weight": F.col("weight") * F.when(wrong, float(np.exp(alpha))).otherwise(1.0) * float(scale)}
         votes = {f"_vote_{c}": F.col(f"_vote_{c}") + F.when(F.col("_p") == c, alpha).otherwise(0.0) for c in range(classes)}
-        current = cut_lineage(scored.withColumns({**update, **votes}).drop("_p", "_raw", "_prob"))
+        before, current = current, cut_lineage(scored.withColumns({**update, **votes}).drop("_p", "_raw", "_prob"))
+        release(before)
         if error <= 1e-10:
             break
     best = F.greatest(*[F.struct(F.col(f"_vote_{c}").alias("v"), F.lit(-c).alias("c")) for c in range(classes)]) if classes > 1 else F.struct(F.lit(0).alias("c"))
     out = current.withColumn("prediction", (-best["c"]).cast("double")).select(*keys, "y", "prediction")
+    if names != [float(i) for i in range(classes)]:
+        out = out.withColumns({c: _class_names(names, c) for c in ("y", "prediction")})
     return out, df.sparkSession.createDataFrame(report, "round int, error double, alpha double")
 
 
+def _adaboost_holdout(data: DataFrame, fold: int, keys: list[str], classes: int, seed: int, rounds: int = 10) -> tuple[int, int]:
+    """Hits and rows of one held-out fold: boosting on the others, its rows carried along with weight 0."""
+    current = cut_lineage(data.withColumns({"weight": (F.col("fold") != fold).cast("double"), **{f"_vote_{c}": F.lit(0.0) for c in range(classes)}}))
+    for r in range(rounds):
+        stump = DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxDepth=1, seed=seed + r, predictionCol="_p", rawPredictionCol="_raw", probabilityCol="_prob")
+        scored = stump.fit(current.filter("weight > 0")).transform(current)
+        wrong = F.col("_p") != F.col("y")
+        row = scored.agg((F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("e"), F.sum("weight").alias("w"), F.sum((F.col("weight") > 0).cast("int")).alias("n")).first()
+        error = min(max(row["e"] or 0.0, 1e-10), 1.0)
+        if error >= 1 - 1 / classes:
+            break
+        alpha = float(np.log((1 - error) / error) + np.log(classes - 1)) if classes > 1 else 0.0
+        scale = row["n"] / (row["w"] * (1 - error) + row["w"] * error * np.exp(alpha))
+        update = {"weight": F.col("weight") * F.when(wrong, float(np.exp(alpha))).otherwise(1.0) * float(scale)}
+        votes = {f"_vote_{c}": F.col(f"_vote_{c}") + F.when(F.col("_p") == c, alpha).otherwise(0.0) for c in range(classes)}
+        before, current = current, cut_lineage(scored.withColumns({**update, **votes}).drop("_p", "_raw", "_prob"))
+        release(before)
+    best = F.greatest(*[F.struct(F.col(f"_vote_{c}").alias("v"), F.lit(-c).alias("c")) for c in range(classes)]) if classes > 1 else F.struct(F.lit(0).alias("c"))
+    held = current.filter(F.col("fold") == fold).agg(F.sum((-best["c"] == F.col("y")).cast("int")).alias("hits"), F.count(F.lit(1)).alias("n")).first()
+    release(current)
+    return held["hits"] or 0, held["n"]
+
+
 def compare_classifiers(
     df: DataFrame, cols: list[str], target: str, keys: list[str], folds: int = 10, models: list[str] | None = None, seed: int = 42
 ) -> DataFrame:
     """Cross-validated accuracy of several classifiers on the same folds."""
-    data = kfold(_assembled(df, cols, target, keys), keys, folds, seed).persist()
-    classes = int(data.agg(F.max("y")).first()[0]) + 1
+    data, names = _class_codes(_assembled(df, cols, target, keys))
+    data = kfold(data, keys, folds, seed).persist()
+    classes = len(names)
     many = classes > 2
     rest = lambda est: OneVsRest(classifier=est, labelCol="y") if many else est.setLabelCol("y")
     known = {
@@ -429,15 +478,24 @@ def compare_classifiers(
     }
     evaluator = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy")
     rows = []
-    for name in models or list(known):
+    for name in models or [*known, "knn", "adaboost"]:
+        if name == "adaboost":
+            hits = total = 0
+            for f in range(folds):
+                right, seen = _adaboost_holdout(data, f, keys, classes, seed)
+                hits, total = hits + right, total + seen
+            rows.append((name, hits / total if total else None))
+            continue
         if name == "knn":
             placed = StandardScaler(inputCol="features", outputCol="_z", withMean=True).fit(data).transform(data)
-            placed = placed.withColumns({"_vec": vector_to_array("_z"), "_row": F.xxhash64(*keys)})
+            # the row's own key, not a hash of it: equal numbers would merge rows
+            placed = placed.withColumns({"_vec": vector_to_array("_z"), "_row": F.to_json(F.struct(*keys))})
             hit = knn_cross_predict(placed, "_row", "_vec", "y", "fold", 5).agg(F.avg((F.col("y") == F.col("prediction")).cast("int")).alias("a"))
             rows.append((name, float(hit.first()["a"])))
             continue
         cv = CrossValidator(estimator=known[name], estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=4)
         rows.append((name, float(cv.fit(data).avgMetrics[0])))
+    data.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, accuracy double")
 
 
@@ -448,8 +506,10 @@ def boosting_search(
 
     `axes` names parameters of the tree booster: maxIter, stepSize, maxDepth, maxBins, subsamplingRate.
     """
-    data = kfold(_assembled(train, cols, target, keys), keys, folds, seed).persist()
-    classes = int(data.agg(F.max("y")).first()[0]) + 1
+    both = _assembled(train.withColumn("_test", F.lit(0)).unionByName(test.withColumn("_test", F.lit(1))), cols, target, [*keys, "_test"])
+    coded, names = _class_codes(both)
+    data = kfold(coded.filter("_test = 0"), keys, folds, seed).persist()
+    classes = len(names)
     booster = GBTClassifier(labelCol="y", seed=seed)
     rng = random.Random(seed)
     draws = [{name: rng.choice(values) for name, values in axes.items()} for _ in range(n_draws)]
@@ -467,5 +527,6 @@ def boosting_search(
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=4)
     fitted = cv.fit(data)
     best = int(np.argmax(fitted.avgMetrics))
-    accuracy = evaluator.evaluate(fitted.bestModel.transform(_assembled(test, cols, target, keys)))
+    accuracy = evaluator.evaluate(fitted.bestModel.transform(coded.filter("_test = 1")))
+    data.unpersist()
     return {**draws[best], "cv_accuracy": float(fitted.avgMetrics[best])}, float(accuracy)

@@ -10,6 +10,9 @@ one row per distinct value first, so a value that repeats in a third of the tabl
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+
+from ..session import cut_lineage
 
 SPLIT_ROWS = 1_000_000
 _ALL = "_all"
@@ -37,8 +40,36 @@ def running_totals(
 ) -> DataFrame:
     """Add `before_<m>`: sum of m over earlier rows of the group, in `order`, then `tie_order`.
 
-    `order` must be numeric, date or timestamp and (with `tie_order`) unique within a group.
+    `order` must be numeric, date or timestamp and (with `tie_order`) unique within a group. A value of `order` that more
+    than `split_rows` rows share stands as one row among the values; its own rows are ordered by `tie_order` as a group of
+    their own, which is cut into ranges in turn (where the first of `tie_order` can be).
     """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    rangeable = (NumericType, DateType, TimestampType, TimestampNTZType)
+    if not tie_order or not isinstance(kinds.get(tie_order[0]), rangeable):
+        return _totals_by_range(df, keys, order, measures, tie_order, split_rows, ranges)
+    group = [*keys, order]
+    names = [f"_h{i}" for i in range(len(group))]
+    heavy = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(m).alias(f"_s_{m}") for m in measures]).filter(F.col("_rows") > split_rows)
+    heavy = heavy.select(*[F.col(c).alias(n) for c, n in zip(group, names)], *[f"_s_{m}" for m in measures])
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(group, names)]
+    light = df.join(heavy.select(*names), same, "left_anti")
+    stand_in = heavy.select(
+        *[F.col(n).alias(c) for c, n in zip(group, names)], *[F.col(f"_s_{m}").alias(m) for m in measures], F.lit(True).alias("_stands")
+    )
+    every = light.withColumn("_stands", F.lit(False)).unionByName(stand_in, allowMissingColumns=True)
+    outer = _totals_by_range(every, keys, order, measures, tie_order, split_rows, ranges)
+    columns = [*df.columns, *[f"before_{m}" for m in measures]]
+    done = outer.filter(~F.col("_stands")).select(*columns)
+    inner = running_totals(df.join(heavy.select(*names), same, "left_semi"), group, tie_order[0], measures, tie_order[1:], split_rows, ranges)
+    starts = outer.filter("_stands").select(*[F.col(c).alias(n) for c, n in zip(group, names)], *[F.col(f"before_{m}").alias(f"_b_{m}") for m in measures])
+    shifted = inner.join(starts, same).select(*df.columns, *[(F.col(f"before_{m}") + F.col(f"_b_{m}")).alias(f"before_{m}") for m in measures])
+    return done.unionByName(shifted)
+
+
+def _totals_by_range(
+    df: DataFrame, keys: list[str], order: str, measures: list[str], tie_order: list[str] | None, split_rows: int, ranges: int | None
+) -> DataFrame:
     spark = df.sparkSession
     ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     columns = df.columns
@@ -109,6 +140,21 @@ def position(
     return ranked.withColumn(out, F.col("before__one") + 1).drop("_one", "before__one")
 
 
+def text_position(df: DataFrame, column: str, out: str = "position") -> DataFrame:
+    """1-based position of distinct texts in byte order over the whole table.
+
+    Rows are dealt into ranges of the column and sorted there; a row's position is its place in its range after the
+    rows of all ranges before. Written once, so that places and counts come from the same ranges.
+    """
+    ranged = df.repartitionByRange(column).sortWithinPartitions(column)
+    placed = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = cut_lineage(placed)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select("_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"))
+    return placed.join(offsets, "_part").withColumn(out, F.col("_at") + F.col("_o") + 1).drop("_part", "_at", "_o")
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
     """One row per distinct non-null value of a group; combines on the map side."""
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(

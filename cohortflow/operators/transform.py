@@ -38,27 +38,34 @@ def boxcox_expr(x: Column, lam: float) -> Column:
 def boxcox(df: DataFrame, cols: list[str], rounds: int = 5, grid: int = 21) -> tuple[DataFrame, dict[str, float]]:
     """Box-Cox with the maximum-likelihood exponent of each column.
 
-    Every round evaluates a grid of exponents for all columns in one aggregation, then zooms in.
+    Every round evaluates a grid of exponents for all columns in one aggregation, then zooms in; a column whose best exponent
+    is at the edge of its grid gets the next grid there, as wide. A column with values of zero or less is shifted to start
+    at 1e-6.
     """
     lows = df.agg(*[F.min(c).alias(c) for c in cols]).first()
-    shift = {c: 1e-6 if lows[c] is not None and lows[c] <= 0 else 0.0 for c in cols}
+    shift = {c: 1e-6 - lows[c] if lows[c] is not None and lows[c] <= 0 else 0.0 for c in cols}
     x = {c: F.col(c) + shift[c] if shift[c] else F.col(c) for c in cols}
-    center, half = {c: 0.0 for c in cols}, 4.0
-    for _ in range(rounds):
-        trial = {c: np.linspace(center[c] - half, center[c] + half, grid) for c in cols}
+    center, half = {c: 0.0 for c in cols}, {c: 4.0 for c in cols}
+    left = {c: rounds for c in cols}
+    while any(left.values()):
+        trial = {c: np.linspace(center[c] - half[c], center[c] + half[c], grid) for c in cols}
         aggs = []
         for c in cols:
-            logs = F.log(F.when(x[c] > 0, x[c]))
-            aggs += [F.count(c).alias(f"n_{c}"), F.sum(logs).alias(f"l_{c}")]
-            aggs += [F.var_pop(boxcox_expr(F.when(x[c] > 0, x[c]), lam)).alias(f"v{i}_{c}") for i, lam in enumerate(trial[c])]
+            aggs += [F.count(c).alias(f"n_{c}"), F.sum(F.log(x[c])).alias(f"l_{c}")]
+            aggs += [F.var_pop(boxcox_expr(x[c], lam)).alias(f"v{i}_{c}") for i, lam in enumerate(trial[c])]
         row = df.agg(*aggs).first()
         for c in cols:
             scores = [
-                (lam - 1) * row[f"l_{c}"] - row[f"n_{c}"] / 2 * np.log(row[f"v{i}_{c}"]) if row[f"v{i}_{c}"] else -np.inf
+                (lam - 1) * row[f"l_{c}"] - row[f"n_{c}"] / 2 * np.log(row[f"v{i}_{c}"]) if row[f"v{i}_{c}"] and np.isfinite(row[f"v{i}_{c}"]) else -np.inf
                 for i, lam in enumerate(trial[c])
             ]
-            center[c] = float(trial[c][int(np.argmax(scores))])
-        half *= 2.0 / (grid - 1) * 1.5
+            best = int(np.argmax(scores))
+            center[c] = float(trial[c][best])
+            if left[c] == rounds and best in (0, grid - 1) and np.isfinite(scores[best]) and abs(center[c]) < 64:
+                continue  # the optimum may lie further out
+            if left[c]:
+                left[c] -= 1
+                half[c] *= 2.0 / (grid - 1) * 1.5
     return df.withColumns({c: boxcox_expr(x[c], center[c]) for c in cols}), center
 
 

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.timeline import assign_day, assign_week, reindex_days
 from ..session import configure
+from ..sources.tables import read_parquet
 
 TYPES = ["click", "view", "purchase", "signup", "error"]
 SENSORS = [f"v_{t}" for t in TYPES]
 DENSE = ["all_mean", "n_events"]
 PHQ9_ITEMS = [f"phq9_{i}" for i in range(1, 10)]
 PHQ2_ITEMS = ["phq2_1", "phq2_2"]
-WEEKS = [0, 1, 2, 3]
+ALL_WEEKS = [0, 1, 2, 3, 4]
+WEEKS = [0, 1, 2, 3]  # the weeks a trajectory must have: week 4 holds two days only
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    return read_parquet(configure(spark), f"{folder}/{name}.parquet")
 
 
 def sensor_raw(spark, folder) -> DataFrame:

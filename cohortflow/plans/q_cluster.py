@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster, distance, features, stats
-from ..operators.projection import drop_missing
 from . import fixtures as fx
 from .registry import query, r6, round_doubles
 
@@ -40,8 +39,7 @@ def ds_euclid(spark, folder):
 )
 def ds_stats(spark, folder):
     points = vectors(spark, folder)
-    n = points.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    return round_doubles(distance.edge_stats(distance.distance_edges(points, "vec_id", "vec"), n))
+    return round_doubles(distance.distance_stats(points, "vec_id", "vec"))
 
 
 def _dtw_sql():
@@ -111,8 +109,7 @@ _EPS = [6.0, 10.0, 16.0]
 _MIN = 5
 
 
-@query(
-    "cl_dbscan",
+_DBSCAN_SQL = (
     fx.with_views(
         *_DTW,
         f"eps AS (SELECT unnest({_EPS}) AS eps)",
@@ -126,27 +123,44 @@ _MIN = 5
     bord AS (SELECT nb.eps, nb.a AS num_id, min(label) AS label FROM nb JOIN lab ON lab.eps = nb.eps AND lab.num_id = nb.b
       WHERE NOT EXISTS (SELECT 1 FROM core k WHERE k.eps = nb.eps AND k.num_id = nb.a) GROUP BY 1, 2),
     every AS (SELECT * FROM lab UNION ALL SELECT * FROM bord)
-    SELECT CAST(e.eps AS DOUBLE) AS eps, w.num_id, CAST(coalesce(label, -1) AS INT) AS label FROM wm w CROSS JOIN eps e LEFT JOIN every x ON x.eps = e.eps AND x.num_id = w.num_id""",
+    SELECT CAST(e.eps AS DOUBLE) AS eps, w.num_id, CAST(coalesce(label, -1) AS INT) AS label FROM wm w CROSS JOIN eps e LEFT JOIN every x ON x.eps = e.eps AND x.num_id = w.num_id"""
 )
+
+
+@query("cl_dbscan", _DBSCAN_SQL)
 def cl_dbscan(spark, folder):
     return cluster.dbscan(trajectories(spark, folder), "num_id", "vec", _EPS, _MIN).select("eps", "num_id", "label")
 
 
-@query("cl_dbscan_sweep")
+def _dbscan_sweep_sql():
+    head, tail = _DBSCAN_SQL.rsplit("SELECT CAST(e.eps AS DOUBLE)", 1)
+    return head.rstrip() + f""",
+    lb AS (SELECT CAST(e.eps AS DOUBLE){tail}),
+    ct AS (SELECT eps, count(DISTINCT CASE WHEN label >= 0 THEN label END) AS clusters, avg(CAST(label < 0 AS INT)) AS noise_ratio FROM lb GROUP BY 1),
+    both_ways AS (SELECT id_a AS a, id_b AS b, dist FROM dtw UNION ALL SELECT id_b, id_a, dist FROM dtw),
+    tot AS (SELECT x.eps, x.num_id, x.label AS own, y.label AS other, sum(dist) AS total, count(*) AS n FROM lb x JOIN both_ways p ON p.a = x.num_id
+      JOIN lb y ON y.eps = x.eps AND y.num_id = p.b WHERE x.label >= 0 AND y.label >= 0 GROUP BY 1, 2, 3, 4),
+    ab AS (SELECT eps, num_id, max(CASE WHEN own = other THEN total / n END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b FROM tot GROUP BY 1, 2),
+    sil AS (SELECT eps, avg(CASE WHEN b IS NOT NULL THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0) END) AS s FROM ab GROUP BY 1)
+    SELECT ct.eps, clusters, round(noise_ratio, 6) AS noise_ratio, round(CASE WHEN clusters > 1 THEN coalesce(s, 0) ELSE 0 END, 6) + 0.0 AS silhouette
+    FROM ct LEFT JOIN sil ON sil.eps = ct.eps"""
+
+
+@query("cl_dbscan_sweep", _dbscan_sweep_sql())
 def cl_dbscan_sweep(spark, folder):
     return round_doubles(cluster.dbscan_sweep(trajectories(spark, folder), "num_id", "vec", _EPS, _MIN))
 
 
 @query("cl_mds")
 def cl_mds(spark, folder):
-    placed = cluster.landmark_mds(trajectories(spark, folder), "num_id", "vec", "dtw")
+    placed = cluster.classical_scaling(trajectories(spark, folder), "num_id", "vec", "dtw")
     return placed.select("num_id", r6(F.get("embedding", F.lit(0))).alias("x"), r6(F.get("embedding", F.lit(1))).alias("y"))
 
 
 @query("cl_sweep")
 def cl_sweep(spark, folder):
     matrix = features.trajectory_matrix(fx.sensor_day(spark, folder), "all_mean", fx.WEEKS)
-    return round_doubles(cluster.distance_analysis(matrix, WEEK_COLS, "num_id", "dtw", range(1, 6))[1])
+    return round_doubles(cluster.distance_analysis(matrix, WEEK_COLS, "num_id", "dtw")[1])
 
 
 @query("cl_kmeans")
@@ -168,6 +182,18 @@ def cl_hier_subjects(spark, folder):
     return cluster.subject_hierarchy(trajectories(spark, folder), "num_id", "vec", 4, metric="dtw").select("num_id", "cluster")
 
 
+def _hier(linkage, metric):
+    def run(spark, folder):
+        return cluster.subject_hierarchy(trajectories(spark, folder), "num_id", "vec", 4, linkage, metric).select("num_id", "cluster")
+
+    return run
+
+
+query("cl_hier_complete")(_hier("complete", "dtw"))
+query("cl_hier_average")(_hier("average", "dtw"))
+query("cl_hier_ward")(_hier("ward", "euclidean"))
+
+
 @query("cl_merge_table")
 def cl_merge_table(spark, folder):
     return round_doubles(cluster.merge_table(_variable_distance(spark, folder)))
@@ -194,6 +220,5 @@ def cl_stability(spark, folder):
 @query("cl_trajectory")
 def cl_trajectory(spark, folder):
     """Weekly means, time-warped distances, two clusters, and the clusters compared."""
-    points = cluster.landmark_distances(trajectories(spark, folder), "num_id", "vec", "dtw")
-    labels = cluster.kmeans_labels(points, "distance_row", 2)[0].select("num_id", "cluster")
+    labels = cluster.distance_row_kmeans(trajectories(spark, folder), "num_id", "vec", 2, "dtw").select("num_id", "cluster")
     return round_doubles(stats.compare_clusters(fx.sensor_day(spark, folder).join(labels, "num_id"), "cluster", "all_mean"))

@@ -309,15 +309,15 @@ def jn_outer(spark, folder):
 @query(
     "jn_multi_outer",
     fx.with_views(fx.SENSOR_DAY)
-    + """SELECT num_id, round(avg(all_mean) FILTER (week <= 1), 6) AS a1, round(avg(all_mean) FILTER (week = 3), 6) AS a3,
-      round(avg(v_click) FILTER (week = 4), 6) AS c4 FROM sensor_day WHERE week <= 1 OR week = 3 OR week = 4 GROUP BY num_id""",
+    + """SELECT num_id, round(avg(all_mean) FILTER (week <= 1), 6) AS a1, round(avg(all_mean) FILTER (week IN (2, 3)), 6) AS a3,
+      round(avg(v_click) FILTER (week >= 4), 6) AS c4 FROM sensor_day GROUP BY num_id""",
 )
 def jn_multi_outer(spark, folder):
     day = fx.sensor_day(spark, folder)
     parts = [
         day.filter("week <= 1").groupBy("num_id").agg(F.avg("all_mean").alias("a1")),
-        day.filter("week = 3").groupBy("num_id").agg(F.avg("all_mean").alias("a3")),
-        day.filter("week = 4").groupBy("num_id").agg(F.avg("v_click").alias("c4")),
+        day.filter("week in (2, 3)").groupBy("num_id").agg(F.avg("all_mean").alias("a3")),
+        day.filter("week >= 4").groupBy("num_id").agg(F.avg("v_click").alias("c4")),
     ]
     return round_doubles(joins.outer_join_all(parts, ["num_id"]))
 

@@ -97,13 +97,18 @@ def imp_traj_pca(spark, folder):
 # ---------------------------------------------------------------- imputation
 
 
+def row_key(*cols: str):
+    """The composite key itself as text; hashes of keys would meet in large tables."""
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+
+
 def indexed_grid(spark, folder):
     grid = fx.sensor_grid(spark, folder)
-    return grid.withColumn("idx", F.xxhash64("num_id", "dt"))
+    return grid.withColumn("idx", row_key("num_id", "dt"))
 
 
 def indexed_day(spark, folder):
-    return fx.sensor_day(spark, folder).withColumn("idx", F.xxhash64("num_id", "dt"))
+    return fx.sensor_day(spark, folder).withColumn("idx", row_key("num_id", "dt"))
 
 
 _SEEN = "sum(" + " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in fx.SENSORS) + ")"
@@ -152,11 +157,11 @@ def _mean_imputed(spark, folder):
         "k AS (SELECT max(d) AS d FROM (SELECT abs(sum(a) OVER (ORDER BY x) * 1.0 / sum(a) OVER () - sum(b) OVER (ORDER BY x) * 1.0 / sum(b) OVER ()) AS d FROM h))",
     )
     + """SELECT count(*) AS cells, 'ok' AS status, round(sqrt(avg((v - g) ** 2)) / avg(v), 6) AS rmse_scaled,
-      round(1 - sum((v - g) ** 2) / (var_pop(v) * count(*)), 6) AS r2 FROM c, k GROUP BY d""",
+      round(1 - sum((v - g) ** 2) / (var_pop(v) * count(*)), 6) AS r2, round(d, 6) AS ks_d FROM c, k GROUP BY d""",
 )
 def im_error(spark, folder):
     error = impute.imputation_error(*_mean_imputed(spark, folder), p_values=False)
-    return round_doubles(error.select("cells", "status", "rmse_scaled", "r2"))
+    return round_doubles(error.select("cells", "status", "rmse_scaled", "r2", "ks_d"))
 
 
 @query(
@@ -195,7 +200,7 @@ def im_gates_col(spark, folder):
 
 def _gappy(spark, folder):
     """Line items with related columns; a tenth of the totals is missing."""
-    rows = fx.lineitem(spark, folder).withColumn("idx", F.xxhash64(*ROW))
+    rows = fx.lineitem(spark, folder).withColumn("idx", row_key(*ROW))
     cut = ordering.hash_cut(rows, F.xxhash64("idx", F.lit(7)), ["idx"], F.floor(F.col("total") / 10))
     gone = ordering.below_cut(F.xxhash64("idx", F.lit(7)), ["idx"], cut)
     rows = rows.withColumn("charge", F.when(~gone, F.col("price") * (1 + F.col("tax"))))

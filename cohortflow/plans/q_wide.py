@@ -64,12 +64,12 @@ def wide_labels(spark, folder):
     return round_doubles(features.label_wide(wide, clusters, ["phq2_bin"]))
 
 
-_PIVOT = ", ".join(f"round(coalesce(avg(all_mean) FILTER (week = {w}), 0), 6) AS w{w}" for w in fx.WEEKS)
+_PIVOT = ", ".join(f"round(coalesce(avg(all_mean) FILTER (week = {w}), 0), 6) AS w{w}" for w in fx.ALL_WEEKS)
 
 
 @query("rs_pivot", fx.with_views(fx.SENSOR_DAY) + f"SELECT num_id, {_PIVOT} FROM sensor_day GROUP BY num_id")
 def rs_pivot(spark, folder):
-    return round_doubles(features.pivot_weeks(fx.sensor_day(spark, folder), "all_mean", fx.WEEKS))
+    return round_doubles(features.pivot_weeks(fx.sensor_day(spark, folder), "all_mean", fx.ALL_WEEKS))
 
 
 @query(

@@ -119,11 +119,86 @@ def test_linkage_heights():
 def test_embedding_keeps_distances(points):
     df, x = points
     flat = df.withColumn("vec", F.array(F.get("vec", F.lit(0)), F.get("vec", F.lit(1))))
-    out = cluster.landmark_mds(flat, "id", "vec").toPandas().sort_values("id")
+    out = cluster.classical_scaling(flat, "id", "vec").toPandas().sort_values("id")
     e = np.stack(out["embedding"])
     assert np.allclose(matrix(e, "euclidean"), matrix(x[:, :2], "euclidean"), atol=1e-6)
 
 
+@pytest.mark.parametrize("n", [3, 100, 2000])
+def test_scaling_uses_every_point(spark, n):
+    """More points than a block holds; squared distances are those of classical scaling in NumPy."""
+    x = np.random.default_rng(n).normal(0, np.arange(1, 7)[::-1] ** 1.5, (n, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    out = cluster.classical_scaling(df, "id", "vec").toPandas().sort_values("id")
+    centred = x - x.mean(axis=0)
+    u, size, _ = np.linalg.svd(centred, full_matrices=False)
+    exact = u[:, :2] * size[:2]
+    assert np.allclose(np.abs(np.stack(out["embedding"])), np.abs(exact), atol=1e-5)
+
+
+def test_row_kmeans_is_lloyd_on_the_distance_matrix(points, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 16)
+    df, x = points
+    d = matrix(x, "dtw")
+    got = cluster.distance_row_kmeans(df, "id", "vec", 3, "dtw").toPandas().sort_values("id")["cluster"].to_numpy()
+    assert got[0] == 0 and set(got) == {0, 1, 2}
+    centres = np.array([d[got == c].mean(axis=0) for c in range(3)])
+    assert (np.square(d[:, None] - centres[None]).sum(axis=2).argmin(axis=1) == got).all()
+
+
+@pytest.mark.parametrize("linkage", cluster.LINKAGES)
+@pytest.mark.parametrize("metric", ["euclidean", "dtw"])
+def test_subject_linkages(points, monkeypatch, linkage, metric):
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 20)
+    df, x = points
+    x = x + np.random.default_rng(4).normal(0, 0.01, x.shape)  # no ties
+    df = df.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    if linkage == "ward" and metric == "dtw":
+        with pytest.raises(ValueError):
+            cluster.subject_hierarchy(df, "id", "vec", 4, linkage, metric)
+        return
+    members = {i: [i] for i in range(len(x))}
+    for s, (a, b, _, _) in enumerate(cluster.linkage_steps(matrix(x, metric), linkage)[: len(x) - 4]):
+        members[len(x) + s] = members.pop(a) + members.pop(b)
+    want = {i: c for c, group in enumerate(sorted(members.values(), key=min)) for i in group}
+    got = {r["id"]: r["cluster"] for r in cluster.subject_hierarchy(df, "id", "vec", 4, linkage, metric).collect()}
+    assert got == want
+
+
+def test_unknown_linkage_is_an_error(points):
+    with pytest.raises(ValueError):
+        cluster.subject_hierarchy(points[0], "id", "vec", 2, "median")
+
+
+def test_variable_clusters_and_merge_table(spark):
+    names = "abcde"
+    x = {"a": 0.0, "b": 1.0, "c": 5.0, "d": 7.0, "e": 20.0}
+    edges = spark.createDataFrame([(p, q, abs(x[p] - x[q])) for p, q in itertools.combinations(names, 2)], "var_i string, var_j string, dist double")
+    assert cluster.variable_clusters(edges, 3, "average", rows_as_features=False) == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 2}
+    rows = cluster.merge_table(edges).collect()
+    assert len(rows) == 16 and [r["height"] for r in rows if r["method"] == "single"] == [1, 2, 4, 13]
+
+
+def test_kmeans_labels_and_sweep(points):
+    df, x = points
+    labelled, cost = cluster.kmeans_labels(df, "vec", 1)
+    assert cost == pytest.approx(np.square(x - x.mean(axis=0)).sum()) and {r["cluster"] for r in labelled.collect()} == {0}
+    sweep = {r["k"]: r for r in cluster.kmeans_sweep(df, "id", "vec", range(1, 4)).collect()}
+    assert sweep[1]["silhouette"] is None and sweep[3]["inertia"] <= sweep[2]["inertia"] <= sweep[1]["inertia"]
+
+
+def test_stability_compares_halves(points):
+    got = cluster.stability(points[0], "id", "vec", [2], 2).collect()
+    assert len(got) == 2 and all(0 <= r["jaccard"] <= 1 for r in got)
+
+
+def test_distance_stats(points, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 16)
+    d = matrix(points[1], "euclidean")
+    row = distance.distance_stats(points[0], "id", "vec").first()
+    assert (row["min"], row["max"]) == (0.0, pytest.approx(d.max())) and row["mean"] == pytest.approx(d.mean())
+
+
 def test_co_membership(spark):
     a, b = [0, 0, 0, 1, 1, 2], [0, 0, 1, 1, 1, 1]
     df = spark.createDataFrame(list(zip(a, b)), "a int, b int")

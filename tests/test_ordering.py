@@ -68,3 +68,27 @@ def test_tail_holdout_of_an_exact_size(skewed):
     dated = skewed.withColumn("d", F.expr("date_add(date'2024-01-01', k)"))
     got = splits.tail_holdout(dated, "d", "id", rows=10).toPandas().sort_values(["d", "id"])
     assert got["holdout"].tolist() == [0] * 2990 + [1] * 10
+
+
+def test_a_value_in_most_rows_is_cut_by_its_ties(spark, monkeypatch):
+    rows = [(i, 5.0 if i % 4 else float(i % 40)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(4)
+    got = ordering.position(df, [], "v", ["id"], split_rows=50).toPandas().sort_values(["v", "id"])
+    assert (got["position"].to_numpy() == np.arange(1, 2001)).all()
+    seen = []
+    whole = ordering._totals_by_range
+
+    def watched(frame, keys, order, *rest):
+        seen.append(frame.groupBy(*keys, order).count().agg(F.max("count")).first()[0] if order == "v" else 0)
+        return whole(frame, keys, order, *rest)
+
+    monkeypatch.setattr(ordering, "_totals_by_range", watched)
+    ordering.position(df, [], "v", ["id"], split_rows=50)
+    assert max(seen) <= 50
+
+
+def test_text_position_deals_out_common_prefixes(spark):
+    values = [f"https://example.org/{i * 7919 % 5000:05d}" for i in range(5000)] + ["", "é", "z"]
+    df = spark.createDataFrame([(v,) for v in values], "value string").repartition(6)
+    codes = {r["value"]: r["code"] for r in encoding.label_codes(df, "value").collect()}
+    assert codes == {v: i for i, v in enumerate(sorted(values, key=lambda v: v.encode()))}
