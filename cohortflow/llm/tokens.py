@@ -15,8 +15,33 @@ import regex
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_ENTRIES = 400_000  # bounds a worker's memory; a full cache starts anew
-NEW_AT_ONCE = 4_000
+CACHE_ENTRIES = 500_000  # of each of two generations: bounds a worker's memory
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte: itself if it prints, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids by piece. Full, it becomes the older generation, from which pieces in use come back."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.alphabet, self.older = model, byte_alphabet(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            tokens = self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet))
+            ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 class PieceEncoder:
@@ -27,34 +52,17 @@ class PieceEncoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         # separators that the two pattern engines may class differently, and special tokens, go the whole way
-        self.whole = re.compile("|".join([*special, "[\x1c-\x1f᠎]"]))
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.whole = re.compile("|".join([*special, "[\x1c-\x1f\u180e]"]))
+        self.known = _Pieces(self.tokenizer.model)
 
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), NEW_AT_ONCE):
-            some = pieces[i : i + NEW_AT_ONCE]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.asarray(got.ids, dtype="<u4").tobytes()
+    def encode_one(self, text: str | None) -> bytes:
+        text = text or ""
+        if self.whole.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            text = text or ""
-            if self.whole.search(text):
-                out.append(self._whole(text))
-                continue
-            pieces = self.pattern.findall(text)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-            except KeyError:
-                if len(self.known) > CACHE_ENTRIES:
-                    self.known.clear()
-                self._learn([p for p in set(pieces) if p not in self.known])
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return out
+        return [self.encode_one(t) for t in texts]
 
 
 @functools.cache
