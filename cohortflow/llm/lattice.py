@@ -168,12 +168,10 @@ def _compare(cosine: float):
                 # a visitor that is itself visited by the member: the pair also meets in the other cell
                 mutual = visitor[j] & (keys[i, t, 1:] == keys[j, t, :1]).any(axis=1)
                 keep = ~mutual | (node[i] < node[j])
-                for earlier in range(t):
-                    i, j = i[keep], j[keep]
-                    if not len(i):
-                        break
-                    keep = ~_earlier(keys, i, j, earlier)
                 i, j = i[keep], j[keep]
+                for earlier in range(t if len(i) else 0):
+                    new = ~_earlier(keys, i, j, earlier)
+                    i, j = i[new], j[new]
                 np.add.at(counts, i, copies[j])
                 np.add.at(counts, j, copies[i])
             told = (labels.of != np.arange(len(group))) | (counts > 0)
