@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 CELLS = 12
 HASHES = 3
@@ -27,6 +27,8 @@ GROWTH = 4
 ROWS_PER_RANGE = 3000
 ROWS_AT_ONCE = 500  # documents whose sketches are peeled together
 CHARS_AT_ONCE = 4_000_000
+MOST_RANGES = 50_000
+FINE = 64  # bytes at the start that are cut after every word
 LONGEST = 96  # bytes in a piece
 LOWEST = -(2**63)
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)  # odd, any will do
@@ -46,6 +48,7 @@ def digests(text: str | None) -> np.ndarray:
     spaces = np.flatnonzero(codes == 32)
     spaces = spaces[spaces >= 3]
     chosen = (codes[spaces - 1].astype(np.uint32) * 7 + codes[spaces - 2].astype(np.uint32) * 31 + codes[spaces - 3].astype(np.uint32) * 57) % 6 == 0
+    chosen |= spaces < FINE  # a short text has a piece for each word
     ends = np.union1d(np.flatnonzero(codes == 10), spaces[chosen]) + 1
     if not len(ends) or ends[-1] != len(data):
         ends = np.append(ends, len(data))
@@ -228,13 +231,13 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def version_fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Every document against its edited version and against the next document.
 
-    Rows are dealt into ranges of ids (cut points from approximate quantiles, which balance and decide nothing); each range also
-    gets the first row of the range after it as a guest, the last range the very first row. Texts are shuffled once.
+    Rows are dealt into ranges of ids (cut points from approximate quantiles, which balance and decide nothing). The first row
+    of a range also goes, as a guest, to the range above it, the very first row to the lowest range. Texts are shuffled once,
+    guests apart; the driver holds two numbers per range, of which there are MOST_RANGES at most.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
-    n = keyed.count()
-    ranges = max(1, -(-n // rows_per_range))
+    ranges = min(MOST_RANGES, max(1, -(-keyed.count() // rows_per_range)))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = np.array(sorted(set(keyed.approxQuantile("key", shares, 0.2 / ranges))) if shares else [], dtype=np.float64)
 
@@ -243,12 +246,17 @@ def version_fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE)
         return pd.Series(np.searchsorted(cuts, keys.to_numpy().astype(np.float64), "right"))
 
     placed = keyed.withColumn("area", area_of("key"))
-    firsts = keyed.select("key").withColumn("area", area_of("key")).groupBy("area").agg(F.max("key").alias("first_key"))
-    # one row per range from here on; the range above hosts the first row of the range below it
-    up = Window.orderBy("area")
-    host = F.coalesce(F.lead("area").over(up), F.min("area").over(Window.partitionBy()))
-    hosts = firsts.select("first_key", host.alias("host"))
-    guests = keyed.join(hosts, keyed["key"] == hosts["first_key"]).select("doc_id", "text", "key", F.col("host").alias("area"), F.lit(True).alias("guest"))
-    rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)
+    firsts = sorted((r["area"], r["first"]) for r in placed.groupBy("area").agg(F.max("key").alias("first")).collect())
+    areas = [a for a, _ in firsts]
+    host = {first: above for (_, first), above in zip(firsts, areas[1:] + areas[:1])}
+
+    @F.pandas_udf("long")
+    def host_of(keys: pd.Series) -> pd.Series:
+        return keys.map(host).astype("Int64")
+
+    own = F.struct("area", F.lit(False).alias("guest"))
+    visit = F.struct(F.col("host").alias("area"), F.lit(True).alias("guest"))
+    spots = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, visit))
+    rows = placed.withColumn("host", host_of("key")).select("doc_id", "text", "key", F.explode(spots).alias("spot")).select("doc_id", "text", "key", "spot.*")
     dealt = rows.repartition("area").sortWithinPartitions("area", "guest", F.desc("key"), "text")
     return dealt.select("area", "guest", "doc_id", "text").mapInPandas(_compare, SCHEMA)
