@@ -14,12 +14,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CHUNK_BYTES = 4 * 1024 * 1024
+CHUNK_BYTES = 2 * 1024 * 1024  # compressed, a row stays far below what the JVM allocates apart
 CHUNK_SCHEMA = "chunk long, lengths binary, text binary, rest binary"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows here are megabytes: let a batch for Python hold few of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * 1024 * 1024))
+
+
 def squeeze(*values) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, protocol=5))
 
@@ -100,6 +105,6 @@ def gathered(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "answer")).alias(name))
 
 
-def shard_bits(n_bytes: int, per_shard: int = 16 * 1024 * 1024, least: int = 4) -> int:
+def shard_bits(n_bytes: int, per_shard: int = 4 * 1024 * 1024, least: int = 5) -> int:
     """log2 of the number of shards that get about per_shard bytes of text each."""
     return max(least, int(np.ceil(np.log2(max(1, n_bytes / per_shard)))))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .blobs import by_planes, from_planes, gathered, shard_bits, squeeze, unsqueeze
+from .blobs import by_planes, from_planes, gathered, shard_bits, small_batches, squeeze, unsqueeze
 
 CHUNK_TOKENS = 800_000
 ADD = 0.1
@@ -356,8 +356,9 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Scores of every row of docs (doc_id, text) under the model learnt from the rows whose id hash is not 0 modulo folds."""
+    small_batches(docs.sparkSession)
     held = cut_lineage(token_chunks(docs, folds))
-    bits = shard_bits(6 * (held.agg(F.sum("n_tokens")).first()[0] or 0))
+    bits = shard_bits(3 * (held.agg(F.sum("n_tokens")).first()[0] or 0) // 2)
     words = held.select("chunk", "words").mapInPandas(ask_words(bits), "chunk long, shard long, blob binary")
     told = cut_lineage(words.groupBy("shard").applyInPandas(total_words(bits), "chunk long, shard long, answer binary, tokens long, distinct long"))
     sums = told.filter("chunk < 0").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
