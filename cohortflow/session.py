@@ -24,6 +24,7 @@ RUNTIME_CONF = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -68,10 +69,12 @@ def release(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each session that does not run in one machine."""
+    """Send this package to the Python workers, unless they find it as the driver does: by PYTHONPATH or the working folder."""
     context = spark.sparkContext
-    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(context, "_cohortflow_shipped", False) or any(os.path.realpath(p) == os.path.realpath(root) for p in known if p):
         return
-    package = os.path.dirname(os.path.abspath(__file__))
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "cohortflow"), "zip", os.path.dirname(package), os.path.basename(package))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "cohortflow"), "zip", root, os.path.basename(os.path.dirname(os.path.abspath(__file__))))
     context.addPyFile(archive)
+    context._cohortflow_shipped = True
