@@ -149,3 +149,21 @@ def test_subject_imputation_keeps_rows_and_observed_values(gappy):
         seen = before[c].notna()
         assert (before.loc[seen, c] == out.loc[seen, c]).all()
     assert out.loc[out["imputed"] == 1, ["a", "b", "c"]].notna().all().all()
+
+
+def test_labels_need_not_be_codes(spark):
+    rows = [(i, float(i % 2), float(i % 7), 2 * (i % 2) - 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y int")
+    scored = models.adaboost(df, ["a", "b"], "y", ["k"], rounds=1)[0].collect()
+    assert {r["y"] for r in scored} == {-1.0, 1.0} and all(r["y"] == r["prediction"] for r in scored)
+
+
+def test_one_block_has_nothing_to_walk(spark):
+    df = spark.createDataFrame([(i, 0, float(i), 1.0) for i in range(5)], "k long, week int, x double, y double")
+    assert models.walk_forward_blocks(df, ["x"], "y", "week", 1, 2, ["k"]).count() == 0
+
+
+def test_rows_that_share_a_key_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (1, 2.0, 3.0), (2, None, 4.0)], "idx long, a double, b double")
+    with pytest.raises(ValueError):
+        impute.forest_impute(df, ["a", "b"])
