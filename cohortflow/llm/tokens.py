@@ -15,7 +15,7 @@ import regex
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_ENTRIES = 500_000  # of each of two generations: bounds a worker's memory
+CACHE_ENTRIES = 300_000  # of each of two generations: bounds a worker's memory
 
 
 def byte_alphabet() -> dict[int, str]:
