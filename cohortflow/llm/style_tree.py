@@ -4,7 +4,8 @@ Pages of one host are merged into a tree of element paths. A node's presentation
 layouts over the host's pages, its content importance falls with the entropy of its text blocks over the pages: what every page
 repeats says nothing. Branches of low importance are removed from each page of the host. What an element's name, role or
 class declares to be a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment has
-importance 0 in any case, so hosts of a single page work, too. The article (else the main element, else the body) is read.
+importance 0 in any case, so hosts of a single page work, too. A class or id only names a layout where its branch holds the page's
+main element, its article or, on a page without these, most of the text: such a branch is a node like others. The article (else the main element, else the body) is read.
 
 The tree is counted, never collected: pages emit (host, path, feature) rows, which combine before each shuffle.
 
@@ -51,20 +52,39 @@ MARKED = {
 WORD_PARTS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 SHARED_ANCHORS = ("article", "main")
+LAYOUT_NAME = re.compile(r"(?:has|no|not|with|without)[-_].*|(?:long|short)[-_]?form|.*(?:content|main|page|site|layout|article|post|entry).*[-_](?:wrap|wrapper|container)")
+# These never name a page's layout, however much text they hold.
+NO_LAYOUT = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr",
+    "newsletter", "comment", "comments", "disqus", "replies", "respond", "share", "sharing", "related", "recommended", "breadcrumb", "breadcrumbs",
+}
+OPTIONAL_END = {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot"}
 
 
-def low_by_name(tag: str, attrs: dict, inside: bool) -> bool:
-    """Whether the element itself declares that it is no content."""
-    if tag in SILENT or tag in FURNITURE or (tag == "header" and not inside):
-        return True
+def low_by_name(tag: str, attrs: dict, inside: bool) -> set[str] | None:
+    """The marked words of the element's class and id, the empty set where it declares otherwise that it is no content, else None."""
     if tag in ("html", "body", "article", "main"):
-        return False
+        return None
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
+        return set()
     if (attrs.get("role") or "").lower() in ROLES:
-        return True
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
-    return bool(named.strip()) and not MARKED.isdisjoint(WORD_PARTS.findall(named))
+        return set()
+    if tag == "form":
+        return {"form"}
+    if tag in SILENT or tag in FURNITURE or (tag == "header" and not inside):
+        return set()
+    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+    return {w for n in names if not LAYOUT_NAME.fullmatch(n) for w in WORD_PARTS.findall(n)} & MARKED or None
+
+
+class Marked:
+    """A branch that its element's name declares to be no content; whether that holds is known at the end of the page."""
+
+    def __init__(self, words: set[str]) -> None:
+        self.words = words
+        self.closed = False  # by its own end tag, so all inside belongs to it
+        self.anchors: set[str] = set()
+        self.silent = True
 
 
 class Page(HTMLParser):
@@ -72,29 +92,62 @@ class Page(HTMLParser):
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, list]] = []  # tag, path, child tags
-        self.silent: list[str] = []  # open elements inside one that is no content
-        self.blocks: list[tuple[tuple[int, ...], str, str | None]] = []  # path and its ancestors, text, anchor
-        self.layouts: list[tuple[int, int]] = []
-        self.parents: dict[int, int] = {}
+        # tag, path, child tags with their own mark, marks of the branch (and whether an article or main stands between), own mark
+        self.open: list[tuple[str, int, list, tuple, Marked | None]] = []
+        self.silent: list[str] = []  # open elements inside one that cannot hold content
+        self.marks: list[Marked] = []
         self.words: list[str] = []
         self.anchor: list[str] = []
+        self._texts: list[tuple[tuple[int, ...], str, str | None, tuple]] = []
+        self._nodes: list[tuple[int, int, list, tuple]] = []
         self.feed(html)
         self.close()
         self._flush()
         while self.open:
             self._pop()
+        self._decide()
+        nodes = [n for n in self._nodes if not self._dropped(n[3])]
+        self.parents = {path: above for path, above, _, _ in nodes}
+        self.layouts: list[tuple[int, int]] = []
+        for path, _, children, _ in nodes:
+            names = sorted({tag for tag, own in children if own is None or not own.silent})
+            self.layouts.append((path, xxhash.xxh3_64_intdigest(" ".join(names))))
+        # path and its ancestors, text, anchor
+        self.blocks = [(tuple(p for p in paths if p in self.parents), text, anchor) for paths, text, anchor, marks in self._texts if not self._dropped(marks)]
+
+    @staticmethod
+    def _dropped(marks: tuple) -> bool:
+        return any(m.silent and (m.closed or not under) for m, under in marks)
+
+    def _decide(self) -> None:
+        """Outer branches first: a marked branch that holds what the page is about only has a layout's name."""
+        size = lambda rows: sum(len(t[1]) for t in rows)
+        for mark in self.marks:
+            if not mark.words:
+                continue
+            own = [t for t in self._texts if any(m is mark for m, _ in t[3])]
+            if not own:
+                continue
+            anchored = {t[2] for t in self._texts if not self._dropped(t[3])} - {None}
+            sure = [t for t in self._texts if not any(m.silent and not m.words and (m.closed or not under) for m, under in t[3])]
+            most = 2 * size(own) > size(sure)
+            if "main" in mark.anchors or ("article" in mark.anchors and (most or not anchored)):
+                mark.silent = False
+            elif most and not anchored and not any(m.anchors for m in self.marks) and NO_LAYOUT.isdisjoint(mark.words):
+                mark.silent = False
 
     def _flush(self) -> None:
         if self.words:
             text = SPACE.sub(" ", "".join(self.words)).strip()
             self.words = []
             if text:
-                self.blocks.append((tuple(o[1] for o in self.open), text, self.anchor[0] if self.anchor else None))
+                self._texts.append((tuple(o[1] for o in self.open), text, self.anchor[0] if self.anchor else None, self.open[-1][3] if self.open else ()))
 
-    def _pop(self) -> None:
-        tag, path, children = self.open.pop()
-        self.layouts.append((path, xxhash.xxh3_64_intdigest(" ".join(sorted(set(children))))))
+    def _pop(self, closed: bool = False) -> None:
+        tag, path, children, marks, own = self.open.pop()
+        self._nodes.append((path, self.open[-1][1] if self.open else 0, children, marks))
+        if own is not None:
+            own.closed = closed or tag in OPTIONAL_END
         if tag in SHARED_ANCHORS and self.anchor:
             self.anchor.pop()
 
@@ -112,14 +165,10 @@ class Page(HTMLParser):
                 self._flush()
             return
         own = dict(attrs)
-        if low_by_name(tag, own, bool(self.anchor)):
-            if tag in BLOCKS:
-                self._flush()
-            if tag in ENDS_PARAGRAPH:
-                self._end_implied({"p"})
-            self.silent.append(tag)
-            return
+        words = low_by_name(tag, own, bool(self.anchor))
         if tag not in BLOCKS:
+            if words is not None:
+                self.silent.append(tag)
             return
         self._flush()
         if tag in ENDS_PARAGRAPH:
@@ -128,13 +177,20 @@ class Page(HTMLParser):
             self._end_implied(SAME_LEVEL[tag])
         if tag in ("html", "body") and any(o[0] == tag for o in self.open):
             return
+        mark = None if words is None else Marked(words)
         if self.open:
-            self.open[-1][2].append(tag)
-        above = self.open[-1][1] if self.open else 0
-        marks = " ".join(sorted(WORD_PARTS.findall(f"{own.get('class') or ''} {own.get('id') or ''}".lower())))
-        path = xxhash.xxh3_64_intdigest(f"{above}/{tag}.{marks}")
-        self.parents[path] = above
-        self.open.append((tag, path, []))
+            self.open[-1][2].append((tag, mark))
+        above, marks = (self.open[-1][1], self.open[-1][3]) if self.open else (0, ())
+        if tag in SHARED_ANCHORS:
+            for outer, _ in marks:
+                outer.anchors.add(tag)
+            marks = tuple((outer, True) for outer, _ in marks)
+        if mark is not None:
+            self.marks.append(mark)
+            marks = (*marks, (mark, False))
+        names = " ".join(sorted(WORD_PARTS.findall(f"{own.get('class') or ''} {own.get('id') or ''}".lower())))
+        path = xxhash.xxh3_64_intdigest(f"{above}/{tag}.{names}")
+        self.open.append((tag, path, [], marks, mark))
         if tag in SHARED_ANCHORS:
             self.anchor.append(tag)
 
@@ -164,7 +220,7 @@ class Page(HTMLParser):
             self._flush()
             while self.open:
                 done = self.open[-1][0] == tag
-                self._pop()
+                self._pop(closed=done)
                 if done:
                     break
 

@@ -18,6 +18,36 @@ def test_article_blocks():
     assert style_tree.main_text("<html><head><title>x</title><body><p>kept", set()) == "kept"
 
 
+def test_layout_names_keep_the_page():
+    for name in ("content-sidebar-wrap", "layout has-sidebar", "no-sidebar", "long-form", "no-comments", "sidebar-wrap", "page sidebar left"):
+        for tag in ("article", "main"):
+            page = f'<body><div class="{name}"><div id=inner><{tag}><p>First.<p>Second.</{tag}><div class="sidebar">Side</div></div></div></body>'
+            assert style_tree.main_text(page, set()) == "First.\nSecond.", (name, tag)
+        page = f'<body><div class="menu">Menu</div><div class="{name}"><p>First of many words.</p><p>Second.</p></div></body>'
+        assert style_tree.main_text(page, set()) == "First of many words.\nSecond.", name
+    form = "<body><form id=aspnet><main><p>Text</p></main></form></body>"
+    assert style_tree.main_text(form, set()) == "Text"
+
+
+def test_marked_branches_without_the_page_stay_silent():
+    teasers = '<body><article><p>The whole long story.</p></article><div class="related"><article><p>Teaser</p></article></div></body>'
+    assert style_tree.main_text(teasers, set()) == "The whole long story."
+    inside = '<div class="has-sidebar sidebar"><article><p>The whole long story.</p></article><aside><article>Teaser</article></aside></div>'
+    assert style_tree.main_text(inside, set()) == "The whole long story."
+    comments = "<body><p>Short.</p><div class=comments><p>Very long comments by many readers.</p></div></body>"
+    assert style_tree.main_text(comments, set()) == "Short."
+    assert style_tree.main_text('<body><div class="cookie-notice">Cookies!</div></body>', set()) == ""
+
+
+def test_layout_branch_is_a_node_of_the_tree():
+    wrap = style_tree.parsed('<body><div class="content sidebar"><article><p>x</p></article></div></body>')
+    plain = style_tree.parsed('<body><div class="other"><article><p>x</p></article></div></body>')
+    assert len(wrap.parents) == len(plain.parents) == 4 and len(wrap.blocks[0][0]) == 4
+    silent = style_tree.parsed('<body><div class="sidebar"><p>y</p></div><article><p>x</p></article></body>')
+    assert silent.layouts[-1] == style_tree.parsed("<body><article><p>x</p></article></body>").layouts[-1]
+
+
+
 def test_repeated_branch_is_learnt_and_removed(spark):
     rows = [
         (i, f"http://Site.example/{i}?q=1", f"<body><div class=top><p>Always the same line</p></div><div class=story><p>Story number {i}</p><p>More of {i * 7}</p></div></body>")
