@@ -154,6 +154,8 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.silent == ["head"] and tag in BLOCKS:  # the head was not closed
             self.silent.clear()
+        if self.silent and tag in SHARED_ANCHORS and self.silent[0] not in ("noscript", "template", "iframe"):  # nor was this
+            self.silent.clear()
         if self.silent:
             if tag not in VOID:
                 self.silent.append(tag)
@@ -210,7 +212,7 @@ class Page(HTMLParser):
             if tag in self.silent:
                 while self.silent.pop() != tag:
                     pass
-            elif tag in ("body", "html", "article", "main") or (tag in BLOCKS and any(o[0] == tag for o in self.open) and self.silent[0] in ("p", "label", "li")):
+            elif tag in ("body", "html", "article", "main") or (tag in BLOCKS and any(o[0] == tag for o in self.open) and self.silent[0] not in SILENT):
                 self.silent.clear()
                 self.handle_endtag(tag)
             return

@@ -47,6 +47,17 @@ def test_layout_branch_is_a_node_of_the_tree():
     assert silent.layouts[-1] == style_tree.parsed("<body><article><p>x</p></article></body>").layouts[-1]
 
 
+def test_implied_ends_inside_silenced_elements():
+    text = lambda html: style_tree.main_text(html, set())
+    assert text('<div><p class="ad">Buy<p>Real one<p>Real two</div><p>More') == "Real one\nReal two\nMore"
+    assert text('<ul><li class="share">x<li>real<li>too</ul>') == "real\ntoo"
+    assert text('<dl><dt class="ad">x<dd>real</dl>') == "real"
+    assert text('<p class="ad">Buy<div>Real</div>') == "Real"
+    for unclosed in ("<nav><ul><li>Menu</ul>", "<header>Site", '<div class="ad">Buy', "<div role=banner>Site", "<span class=ad>Buy"):
+        for tag in ("article", "main"):
+            assert text(f"<body>{unclosed}<{tag}><p>Story</{tag}></body>") == "Story", (unclosed, tag)
+    assert text("<body><nav><article>Teaser</article></nav><p>Story</body>") == "Story"
+
 
 def test_repeated_branch_is_learnt_and_removed(spark):
     rows = [
