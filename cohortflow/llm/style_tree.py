@@ -5,7 +5,7 @@ layouts over the host's pages, its content importance falls with the entropy of
 repeats says nothing. Branches of low importance are removed from each page of the host. What an element's name, role or
 class declares to be a menu, header, footer, sidebar, notice, advert, form, script, style or reader comment has
 importance 0 in any case, so hosts of a single page work, too. A class or id only names a layout where its branch holds the page's
-main element, its article or, on a page without these, most of the text: such a branch is a node like others. The article (else the main element, else the body) is read.
+main element, its article or, on a page without these, most of the text: such a branch is a node like others. The main element with its articles (else the articles, else the body) is read.
 
 The tree is counted, never collected: pages emit (host, path, feature) rows, which combine before each shuffle.
 
@@ -33,7 +33,7 @@ CONTENT_SHARE = 0.9
 
 # Element names by role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "datalist"}
+SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "audio", "video", "select", "datalist"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "input", "textarea", "label"}
 BLOCKS = {
     "html", "body", "article", "main", "section", "div", "header", "footer", "nav", "aside", "form", "fieldset", "menu", "dialog", "details", "summary",
@@ -254,11 +254,13 @@ def page_features(html: str | None) -> list[tuple[int, int, int, int]]:
 
 
 def main_text(html: str | None, removed: set[int]) -> str:
-    """Blocks of the article (else main, else the page) outside the removed branches, one per line."""
+    """Blocks of main and of an article around one (else the articles, else the page) outside the removed branches, one per line."""
     blocks = parsed(html).blocks
     found = {anchor for _, _, anchor in blocks}
-    wanted = next((a for a in SHARED_ANCHORS if a in found), None)
-    return "\n".join(text for paths, text, anchor in blocks if anchor == wanted and removed.isdisjoint(paths))
+    kept = [(text, anchor) for paths, text, anchor in blocks if removed.isdisjoint(paths)]
+    anchors = [a for a in ("main", "article") if a in found] or [None]
+    wanted = next((a for a in anchors if any(anchor == a for _, anchor in kept)), anchors[0])
+    return "\n".join(text for text, anchor in kept if anchor == wanted)
 
 
 def with_host(pages: DataFrame) -> DataFrame:

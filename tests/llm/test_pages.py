@@ -59,6 +59,15 @@ def test_implied_ends_inside_silenced_elements():
     assert text("<body><nav><article>Teaser</article></nav><p>Story</body>") == "Story"
 
 
+def test_main_before_articles_beside_it_and_math():
+    text = lambda html: style_tree.main_text(html, set())
+    assert text("<body><article>Teaser, longer than the text</article><main><p>Text</p></main></body>") == "Text"
+    assert text("<main><p>Text</p><article>Story</article></main><article>Teaser</article>") == "Text\nStory"
+    assert text("<main></main><article>Story</article>") == "Story"
+    math = '<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding="application/x-tex">x=1</annotation></math> holds<svg><text>Fig</text></svg></p>'
+    assert text(f"<article>{math}</article>") == "So x=1 holds"
+
+
 def test_repeated_branch_is_learnt_and_removed(spark):
     rows = [
         (i, f"http://Site.example/{i}?q=1", f"<body><div class=top><p>Always the same line</p></div><div class=story><p>Story number {i}</p><p>More of {i * 7}</p></div></body>")
