@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
@@ -37,3 +39,22 @@ def id_crc(id_col: str = "doc_id") -> Column:
 
 def word_count(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batch, column: str = "text", most_bytes: int = 16 * 1024 * 1024):
+    """An Arrow batch in pieces of about most_bytes of a string column; a longer row is a piece of its own."""
+    sizes = pc.coalesce(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for row, size in enumerate(sizes.tolist()):
+        if held and held + size > most_bytes:
+            yield batch.slice(start, row - start)
+            start, held = row, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indexes start, start + 1, ... of every stretch, one stretch after another."""
+    total = int(lengths.sum())
+    return np.arange(total) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)

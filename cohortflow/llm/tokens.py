@@ -1,21 +1,21 @@
 """Byte-pair encoding of whole texts with a public tokenizer file.
 
-The merges of a byte-level vocabulary never cross the pieces that its pattern cuts a text into, so each distinct
-piece is encoded once per worker and a text is the concatenation of its pieces' ids.
+Ids of this kind of file rise in the order of the merges, so its vocabulary is also a table of ranks, and the faster library
+for such tables gives the same ids.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 import numpy as np
 import public_tokenizers
-import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHE_ENTRIES = 300_000  # of each of two generations: bounds a worker's memory
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -25,47 +25,48 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
-    """Ids by piece. Full, it becomes the older generation, from which pieces in use come back."""
-
-    def __init__(self, model) -> None:
-        super().__init__()
-        self.model, self.alphabet, self.older = model, byte_alphabet(), {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            tokens = self.model.tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet))
-            ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        if len(self) >= CACHE_ENTRIES:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = ids
-        return ids
-
-
-class PieceEncoder:
+class TextEncoder:
     """Texts to ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, file: str = TOKENIZER) -> None:
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        path = public_tokenizers.path(file)
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as handle:
+            model = json.load(handle)["model"]
+        vocabulary, byte_of = model["vocab"], {c: b for b, c in byte_alphabet().items()}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        made = [vocabulary["".join(rule) if isinstance(rule, list) else rule.replace(" ", "")] for rule in model["merges"]]
+        if made != sorted(made):
+            raise ValueError(f"{file}: the ids are not in the order of the merges")
+        self.bytes = {i: bytes(byte_of[c] for c in token) for token, i in vocabulary.items() if token not in special}
+        self.ranks = tiktoken.Encoding(file, pat_str=public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
         # separators that the two pattern engines may class differently, and special tokens, go the whole way
-        self.whole = re.compile("|".join([*special, "[\x1c-\x1f\u180e]"]))
-        self.known = _Pieces(self.tokenizer.model)
+        self.odd = re.compile("[\x1c-\x1f\u180e]")
+        self.whole = re.compile("|".join([*map(re.escape, special), self.odd.pattern]))
+        self.plain_tokenizer = Tokenizer.from_file(path)
+        self.plain_tokenizer.encode_special_tokens = True
+
+    def token_bytes(self) -> tuple[list[bytes], np.ndarray]:
+        """The bytes of each id (none for special tokens), and how many they are."""
+        table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 2)]
+        return table, np.array([len(b) for b in table], np.int64)
+
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text in which strings of special tokens are ordinary text."""
+        if self.odd.search(text):
+            return self.plain_tokenizer.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(text)
 
     def encode_one(self, text: str | None) -> bytes:
         text = text or ""
-        if self.whole.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, self.pattern.findall(text)))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if self.whole.search(text) else self.ranks.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         return [self.encode_one(t) for t in texts]
 
 
 @functools.cache
-def encoder(file: str = TOKENIZER) -> PieceEncoder:
+def encoder(file: str = TOKENIZER) -> TextEncoder:
     """One encoder for each worker process."""
-    return PieceEncoder(file)
+    return TextEncoder(file)
