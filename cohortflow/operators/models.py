@@ -14,7 +14,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -244,45 +244,6 @@ def mixed_model(df: DataFrame, cols: list[str], target: str, group: str) -> Data
     )
 
 
-def randomized_logistic(
-    df: DataFrame, cols: list[str], target: str, keys: list[str], num_samples: int = 200, threshold: float = 0.1,
-    reg_params: tuple = (0.01, 0.1), folds: int = 3, seed: int = 34,
-) -> DataFrame:
-    """Mean absolute L1-logistic coefficient over bootstrap weights; `selected` above the threshold.
-
-    A bootstrap of 70 % with replacement is a Poisson(0.7) weight per row, drawn from the row key's
-    hash, so samples are never materialised.
-    """
-    data = _assembled(df, cols, target, keys).persist()
-    steps, level = [], np.exp(-0.7)
-    cumulative, term = 0.0, level
-    k = -1
-    while 1.0 - cumulative > 1e-7:  # beyond the resolution of the hash
-        k += 1
-        cumulative += term
-        steps.append(cumulative)
-        term *= 0.7 / (k + 1)
-    total = np.zeros(len(cols))
-    for b in range(num_samples):
-        u = F.pmod(F.xxhash64(*keys, F.lit(seed + b)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        weight = reduce(lambda acc, s: acc + (u > s).cast("double"), steps, F.lit(0.0))
-        sample = data.withColumn("weight", weight).filter("weight > 0")
-        fit = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", elasticNetParam=1.0, maxIter=50)
-        if len(reg_params) > 1:
-            grid = ParamGridBuilder().addGrid(fit.regParam, list(reg_params)).build()
-            cv = CrossValidator(
-                estimator=fit, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=4,
-                evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"),
-            )
-            best = cv.fit(kfold(sample, keys, folds, seed + b)).bestModel
-        else:
-            best = fit.setRegParam(reg_params[0]).fit(sample)
-        total += np.abs(best.coefficients.toArray())
-    mean = total / num_samples
-    rows = [(c, float(m), int(m > threshold)) for c, m in zip(cols, mean)]
-    return df.sparkSession.createDataFrame(rows, "variable string, mean_abs_coef double, selected int")
-
-
 def logistic_subjects(
     panel: DataFrame, cols: list[str], target: str, key: str = "num_id", train: tuple[int, int] = (0, 50), val: tuple[int, int] = (61, 80),
     day: str = "day", time: str = "dt", steps: int = 25, ridge: float = 1e-2,
@@ -507,7 +468,7 @@ def boosting_search(
     `axes` names parameters of the tree booster: maxIter, stepSize, maxDepth, maxBins, subsamplingRate.
     """
     both = _assembled(train.withColumn("_test", F.lit(0)).unionByName(test.withColumn("_test", F.lit(1))), cols, target, [*keys, "_test"])
-    coded, names = _class_codes(both)
+    coded, names = _class_codes(cut_lineage(both))
     data = kfold(coded.filter("_test = 0"), keys, folds, seed).persist()
     classes = len(names)
     booster = GBTClassifier(labelCol="y", seed=seed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, features, impute, models, ordering, splits, stats, timeline, transform
+from ..operators import aggregates, features, impute, models, ordering, resampled, splits, stats, timeline, transform
 from ..sources import tables
 from . import fixtures as fx
 from .q_cluster import WEEK_COLS, trajectories, vectors
@@ -297,7 +297,7 @@ def md_mixed(spark, folder):
 
 @query("md_rlr")
 def md_rlr(spark, folder):
-    return round_doubles(models.randomized_logistic(fx.two_class(spark, folder), DOC, "y", ["doc_id"], num_samples=3, folds=2))
+    return round_doubles(resampled.randomized_logistic(fx.two_class(spark, folder), DOC, "y", ["doc_id"]))
 
 
 @query("md_logit_subj")
