@@ -41,7 +41,7 @@ def word_count(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batch, column: str = "text", most_bytes: int = 16 * 1024 * 1024):
+def slices(batch, column: str = "text", most_bytes: int = 4 * 1024 * 1024):
     """An Arrow batch in pieces of about most_bytes of a string column; a longer row is a piece of its own."""
     sizes = pc.coalesce(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0

@@ -9,7 +9,7 @@ from .registry import query
 
 @query("op12_speculative_bpe")
 def op12_speculative_bpe(spark, folder):
-    rows = speculative_bpe.decode(speculative_bpe.encode(table(spark, folder, "documents")))
+    rows = speculative_bpe.round_trip(table(spark, folder, "documents"))
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

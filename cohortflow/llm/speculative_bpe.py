@@ -10,13 +10,14 @@ cut the words; white space always ends a word, so texts are cut there first.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text; a null id and repeated rows are kept as they
 are; strings of special tokens become those tokens, as the library does by default; an empty table gives no rows; extra columns are
-left out. A text, however long, is handled whole; memory follows 16 MB of text, or a single longer text.
+left out. A text, however long, is handled whole; memory follows 4 MB of text, or a single longer text.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
@@ -35,6 +37,8 @@ TOKENIZER = "word_bpe_49k.json"
 SPACE = re.compile(r"[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 LAST = 0xE000  # a word's last symbol is moved here, so that it is one character like the others
 NEVER = np.iinfo(np.int64).max
+WIDE = 32
+KNOWN = 200_000  # chunks whose tokens a worker keeps: bounds its memory
 
 
 class Merges:
@@ -51,12 +55,13 @@ class Merges:
         codes = pairs[:, 0] * self.size + pairs[:, 1]
         order = np.argsort(codes, kind="stable")
         self.codes, self.ranks = np.append(codes[order], NEVER), np.append(order, NEVER)
+        self.made = made
         self.by_pair = {(a, b): (k, t) for k, (a, b, t) in reversed(list(enumerate(zip(*pairs.T.tolist(), made.tolist()))))} if rules else {}
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         code = left * self.size + right
         at = np.searchsorted(self.codes, code)
-        return np.where(self.codes[at] == code, self.ranks[at], NEVER)
+        return np.where((self.codes[at] == code) & (right >= 0), self.ranks[at], NEVER)
 
     def compatible(self, left: np.ndarray, right: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether merging the joined symbols of both tokens, by rules ranked below limit, leaves exactly these two.
@@ -114,6 +119,33 @@ class Merges:
                 offer(before[i])
         return [t for t in token if t >= 0]
 
+    def merge_all(self, symbols: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
+        """merge() of many words given one after another. Words of up to WIDE symbols merge side by side, a merge of each per round."""
+        starts = np.cumsum(lengths) - lengths
+        out: list[list[int]] = [[]] * len(lengths)
+        for k in np.flatnonzero(lengths > WIDE):
+            out[k] = self.merge(symbols[starts[k] : starts[k] + lengths[k]].tolist())
+        words = np.flatnonzero(lengths <= WIDE)
+        token = np.full((len(words), WIDE + 1), -1, np.int64)
+        token[np.repeat(np.arange(len(words)), lengths[words]), spread(np.zeros(len(words), np.int64), lengths[words])] = symbols[spread(starts[words], lengths[words])]
+        rank = self.pair_rank(token[:, :-1], token[:, 1:])
+        column = np.arange(WIDE)
+        while len(words):
+            at = rank.argmin(axis=1)  # the first of equal ranks
+            best = rank[np.arange(len(words)), at]
+            for k in np.flatnonzero(best == NEVER):
+                out[words[k]] = token[k][token[k] >= 0].tolist()
+            go = best < NEVER
+            words, at, best, token, rank = words[go], at[go], best[go], token[go], rank[go]
+            row, behind = np.arange(len(words)), column > at[:, None]
+            token[row, at] = self.made[best]
+            token[:, :-1] = np.where(behind, token[:, 1:], token[:, :-1])
+            rank[:, :-1] = np.where(behind[:, :-1], rank[:, 1:], rank[:, :-1])
+            rank[row, at] = self.pair_rank(token[row, at], token[row, at + 1])
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self.pair_rank(token[left, at[left] - 1], token[left, at[left]])
+        return out
+
 
 class SpeculativeEncoder:
     def __init__(self, file: str = TOKENIZER) -> None:
@@ -129,7 +161,8 @@ class SpeculativeEncoder:
         self.special = {t.content: i for i, t in added.items()}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.strings = {i: t.content for i, t in added.items()} | {i: s for s, i in vocabulary.items()}
-        self.symbol: dict[str, int] = {}  # tokens of one character, in the form that match() looks for
+        self.table = pa.array([self.strings.get(i, "") for i in range(max(self.strings) + 1)])
+        self.symbols = np.full(LAST + 512, -1, np.int64)  # tokens of one character, by that character as match() sees it
         self.automaton = ahocorasick.Automaton()
         reachable = self.merges.reachable()
         self.width = np.zeros(self.merges.size, np.int64)
@@ -137,11 +170,12 @@ class SpeculativeEncoder:
             form = self.mark_last(text[: -len(self.suffix)]) if self.suffix and text.endswith(self.suffix) and text != self.suffix else text
             self.width[token] = len(form)
             if len(form) == 1:
-                self.symbol[form] = token
+                self.symbols[ord(form)] = token
             if reachable[token]:
                 self.automaton.add_word(form, token)
         self.automaton.make_automaton()
         self.merged_words = self.all_words = 0
+        self.forget()
 
     def mark_last(self, word: str) -> str:
         return word[:-1] + chr(LAST + ord(word[-1]))
@@ -165,7 +199,9 @@ class SpeculativeEncoder:
         failed[owner[1:][beside][~fits[place]]] = True
         self.all_words += len(words)
         self.merged_words += int(failed.sum())
-        exact = [self.merges.merge([self.symbol[c] for c in marked[k]]) for k in np.flatnonzero(failed)]
+        left = [marked[k] for k in np.flatnonzero(failed)]
+        symbols = self.symbols[np.frombuffer("".join(left).encode("utf-32-le"), np.uint32)]
+        exact = self.merges.merge_all(symbols, np.fromiter(map(len, left), np.int64, len(left)))
         keep = ~failed[owner]
         counts = np.bincount(owner[keep], minlength=len(words))
         counts[failed] = [len(e) for e in exact]
@@ -190,37 +226,38 @@ class SpeculativeEncoder:
         return flat[spread(starts[word], counts[word])], np.bincount(chunk, weights=counts[word], minlength=len(chunks)).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts, one after another, and how many each text has."""
-        index: dict[str, int] = {"": 0}
-        special: dict[int, int] = {}
+        """Tokens of all texts, one after another, and how many each text has. Known chunks are kept, up to KNOWN of them."""
+        if len(self.index) > KNOWN:
+            self.forget()
+        index, known = self.index, len(self.index)
         parts: list[int] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for k, text in enumerate(texts):
             for piece in self.special_cut.split(text) if text and "<|" in text else [text or ""]:
                 if piece in self.special:
-                    number = index.setdefault("\n" + piece, len(index))  # no chunk holds a line break
-                    special[number] = self.special[piece]
-                    parts.append(number)
+                    parts.append(index[piece + " "])  # no chunk holds a space
                 else:
                     parts.extend([index.setdefault(c, len(index)) for c in SPACE.sub(" ", piece).split(" ")])
             ends[k + 1] = len(parts)
-        names = list(index)
-        plain = np.array([k for k in range(1, len(names)) if k not in special], np.int64)
-        flat, own = self.encode_chunks([names[k] for k in plain])
-        counts = np.zeros(len(names), np.int64)
-        counts[plain] = own
-        counts[list(special)] = 1
-        starts = np.zeros(len(names), np.int64)
-        starts[plain] = np.cumsum(own) - own
-        starts[list(special)] = len(flat) + np.arange(len(special))
-        flat = np.append(flat, np.array(list(special.values()), np.int64))
+        flat, counts = self.encode_chunks(list(itertools.islice(index, known, None)))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(counts) - counts)
+        self.flat, self.counts = np.append(self.flat, flat), np.append(self.counts, counts)
         order = np.array(parts, np.int64)
-        totals = np.concatenate([[0], np.cumsum(counts[order])])
-        return flat[spread(starts[order], counts[order])], np.diff(totals[ends])
+        totals = np.concatenate([[0], np.cumsum(self.counts[order])])
+        return self.flat[spread(self.starts[order], self.counts[order])], np.diff(totals[ends])
+
+    def forget(self) -> None:
+        """Keep no chunks but the empty one and the special tokens."""
+        self.index = {"": 0} | {text + " ": k + 1 for k, text in enumerate(self.special)}
+        self.flat = np.array(list(self.special.values()), np.int64)
+        self.counts = np.array([0] + [1] * len(self.special), np.int64)
+        self.starts = np.array([0, *range(len(self.special))], np.int64)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         """The tokens' strings joined by a space, as the library does for a file that names no decoder."""
-        return " ".join([self.strings[i] for i in ids])
+        strings = self.table.take(pc.fill_null(ids.flatten(), 0))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())]).astype(np.int32))
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, strings), " ")
 
 
 @functools.cache
@@ -229,15 +266,18 @@ def encoder(file: str = TOKENIZER) -> SpeculativeEncoder:
     return SpeculativeEncoder(file)
 
 
+def _encoded(batch: pa.RecordBatch, tokenizer: str) -> tuple[pa.Array, pa.ListArray]:
+    flat, counts = encoder(tokenizer).encode(batch.column("text").to_pylist())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+
+
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id and the token ids of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in slices(whole)):
-            flat, counts = encoder(tokenizer).encode(batch.column("text").to_pylist())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            ids = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), ids], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([*_encoded(batch, tokenizer)], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -247,7 +287,18 @@ def decode(tokens: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [encoder(tokenizer).decode(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            columns = [batch.column("doc_id"), batch.column("ids"), encoder(tokenizer).decode(batch.column("ids"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """decode(encode(docs)) in one worker instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in slices(whole)):
+            doc_id, ids = _encoded(batch, tokenizer)
+            yield pa.RecordBatch.from_arrays([doc_id, ids, encoder(tokenizer).decode(ids)], names=["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -74,7 +74,10 @@ def test_compatible_is_exact_for_pairs():
         return [token] if rank[token] < 0 else symbols(halves[0][token]) + symbols(halves[1][token])
 
     fits = own.merges.compatible(left, right)
-    assert fits.tolist() == [own.merges.merge([int(x) for x in symbols(a) + symbols(b)]) == [a, b] for a, b in zip(left, right)]
+    words = [[int(x) for x in symbols(a) + symbols(b)] for a, b in zip(left, right)]
+    merged = [own.merges.merge(w) for w in words]
+    assert fits.tolist() == [m == [a, b] for m, a, b in zip(merged, left, right)]
+    assert own.merges.merge_all(np.concatenate(words), np.array([len(w) for w in words])) == merged
     assert 0 < fits.sum() < len(fits)
 
 
