@@ -5,7 +5,7 @@ constant shift between the two indexes: exponential probing compares stretches o
 steps find where, and the whole run is jumped. At an irregular place the two sequences advance by turns until they end
 together, which closes a group and sets the new shift.
 
-A slice of documents (16 MB of text, or one longer document) numbers its distinct id pairs; its documents hold those numbers.
+A slice of documents (4 MB of text, or one longer document) numbers its distinct id pairs; its documents hold those numbers.
 Only a slice's distinct pairs with their counts are added up over the corpus, and the totals go back to the slices that asked.
 
 Defined cases: a null or empty text, and one whose joined token bytes of either side are not the text after a space, has no
@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,9 @@ from .common import slices, spread
 from .tokens import TOKENIZER, encoder
 
 PIECES = "piece_bpe_32k.model"
+SEGMENT = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
+OTHER_SPACE = re.compile(r"[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # a text with one stays whole
+KNOWN = 200_000  # segments whose ids a worker keeps: bounds its memory
 SIDES = "doc_id long, a_ids array<int>, b_ids array<int>, a_edges array<int>, b_edges array<int>"
 PARTS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, spots array<int>, times array<int>, pairs array<long>"
 
@@ -42,7 +47,7 @@ class PieceModel:
     def __init__(self, file: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(file))
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.bytes = np.array([bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)], object)
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
 
@@ -93,36 +98,86 @@ def diagonal_groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray,
     return ends, ends + np.repeat(np.array(shifts, np.int64), lengths)
 
 
+class Segments:
+    """Both sides' ids of stretches of text that no token of either side reaches out of; up to KNOWN of them are kept.
+
+    A stretch ends before white space that follows other characters: the first side's pattern always cuts there, and no entry of
+    the second vocabulary has a space behind a character or holds another white-space character beside it.
+    """
+
+    def __init__(self, a_file: str, b_file: str) -> None:
+        self.a_model, self.b_model = encoder(a_file), pieces(b_file)
+        self.a_bytes, self.a_lengths = self.a_model.token_bytes
+        model = self.b_model.model
+        names = [model.id_to_piece(i) for i in range(model.vocab_size())]
+        if any(re.search("[^▁]▁|[\t\n].|.[\t\n]", n) for n in names):
+            raise ValueError(f"{b_file}: entries reach over white space")
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.same = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int32)] * 2
+        self.counts = [np.zeros(0, np.int64)] * 2
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all segments of the texts, each of which begins with a space, and how many each has; their ids are known then."""
+        known, index = len(self.index), self.index
+        out, lengths = [], []
+        for text in texts:
+            cut = [text] if text and OTHER_SPACE.search(text) else SEGMENT.findall(text)
+            out += [index.setdefault(s, len(index)) for s in cut]
+            lengths.append(len(cut))
+        new = list(itertools.islice(index, known, None))
+        # behind a line break the second side's own leading space is a token of its own
+        b_new = [ids[2:] for ids in self.b_model.model.encode(["\n" + s for s in new], num_threads=1)]
+        a_new = [self.a_model.plain(s) for s in new]
+        raw = [s.encode() for s in new]
+        same = [b"".join(map(self.a_bytes.__getitem__, a)) == r == b"".join(map(self.b_model.bytes.__getitem__, b)) for a, b, r in zip(a_new, b_new, raw)]
+        self.same = np.append(self.same, np.array(same, bool))
+        for side, ids in enumerate((a_new, b_new)):
+            self.ids[side] = np.append(self.ids[side], np.fromiter(itertools.chain.from_iterable(ids), np.int32))
+            self.counts[side] = np.append(self.counts[side], np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.array(out, np.int64), np.array(lengths, np.int64)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each side the ids of all texts, one after another, and how many each text has; none where a side's bytes differ."""
+        if len(self.index) > KNOWN:
+            self.forget()
+        number, lengths = self.numbers([" " + t if t else "" for t in texts])
+        row = np.repeat(np.arange(len(texts)), lengths)
+        differ = np.bincount(row, weights=~self.same[number], minlength=len(texts)) > 0
+        number, row = number[~differ[row]], row[~differ[row]]
+        out = []
+        for ids, counts in zip(self.ids, self.counts):
+            starts, own = np.cumsum(counts) - counts, counts[number]
+            out.append((ids[spread(starts[number], own)], np.bincount(row, weights=own, minlength=len(texts)).astype(np.int64)))
+        return out
+
+
+@functools.cache
+def segments(a_file: str, b_file: str) -> Segments:
+    """One for each worker process."""
+    return Segments(a_file, b_file)
+
+
 class Aligner:
     """Both sides' tokens and their groups for one slice of texts, text after text in flat arrays."""
 
     def __init__(self, texts: list[str | None], a_file: str, b_file: str) -> None:
-        a_model, b_model = encoder(a_file), pieces(b_file)
-        a_bytes, a_lengths = a_model.token_bytes()
-        whole = [" " + t if t else "" for t in texts]
-        a_lists = [a_model.plain(t) for t in whole]
-        b_lists = b_model.model.encode([t[1:] for t in whole], num_threads=1)
-        for k, text in enumerate(whole):
-            if not text:
-                a_lists[k], b_lists[k] = [], []
-                continue
-            raw = text.encode()
-            if b"".join(map(a_bytes.__getitem__, a_lists[k])) != raw or b"".join(map(b_model.bytes.__getitem__, b_lists[k])) != raw:
-                a_lists[k], b_lists[k] = [], []
-        self.n_a = np.array([len(x) for x in a_lists], np.int64)
-        self.n_b = np.array([len(x) for x in b_lists], np.int64)
-        self.a = np.fromiter((i for x in a_lists for i in x), np.int64, int(self.n_a.sum()))
-        self.b = np.fromiter((i for x in b_lists for i in x), np.int64, int(self.n_b.sum()))
+        known = segments(a_file, b_file)
+        a_lengths, b_lengths = known.a_lengths, known.b_model.lengths
+        (self.a, self.n_a), (self.b, self.n_b) = known.encode(texts)
         a_from, b_from = np.cumsum(self.n_a) - self.n_a, np.cumsum(self.n_b) - self.n_b
         edges, self.n_groups = [], np.zeros(len(texts), np.int64)
-        a_sizes, b_sizes = a_lengths[self.a], b_model.lengths[self.b]
+        a_sizes, b_sizes = a_lengths[self.a], b_lengths[self.b]
         for k in np.flatnonzero(self.n_a):
             i, j = a_from[k], b_from[k]
             cut = diagonal_groups(np.cumsum(a_sizes[i : i + self.n_a[k]]), np.cumsum(b_sizes[j : j + self.n_b[k]]))
             self.n_groups[k] = len(cut[0])
             edges.append((cut[0] + i, cut[1] + j))
         self.a_edges, self.b_edges = np.concatenate([np.zeros((2, 0), np.int64), *map(np.array, edges)], axis=1)
-        self.a_sizes, self.b_sizes = a_sizes, b_sizes
+        self.a_sizes, self.b_sizes, self.ids = a_sizes, b_sizes, max(len(a_lengths), len(b_lengths))
         self.a_from, self.b_from, self.group_from = a_from, b_from, np.cumsum(self.n_groups) - self.n_groups
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +209,13 @@ class Aligner:
         place_a = np.arange(len(a)) + np.repeat(np.append(0, b_edges[:-1]), np.diff(a_edges, prepend=0))
         place_b = np.arange(len(b)) + np.repeat(a_edges, np.diff(b_edges, prepend=0))
         out = np.empty(len(a) + len(b), object)
-        out[place_a], out[place_b] = _labels()[a_mark, a], _labels()[b_mark, b]
+        labels = _labels(self.ids)
+        out[place_a], out[place_b] = labels[a_mark, a], labels[b_mark, b]
         return "".join(out.tolist())[:-1]
 
 
 @functools.cache
-def _labels(size: int = 1 << 17) -> np.ndarray:
+def _labels(size: int) -> np.ndarray:
     """Decimal ids with the mark that follows them: a comma inside a side, a bar after the first, a semicolon after the second."""
     return np.array([[f"{i}{mark}" for i in range(size)] for mark in ",|;"], object)
 
@@ -199,7 +255,7 @@ def _slice_rows(a_file: str, b_file: str, with_groups: bool):
         for batch in (piece for whole in batches for piece in slices(whole)):
             at = Aligner(batch.column("text").to_pylist(), a_file, b_file)
             a, b, group = at.links()
-            spot, pairs = pd.factorize(a << 32 | b)
+            spot, pairs = pd.factorize(a.astype(np.int64) << 32 | b)
             total = np.bincount(spot, minlength=len(pairs))
             row = np.repeat(np.arange(batch.num_rows), at.n_groups)[group]
             held, times = np.unique(row * len(pairs) + spot, return_counts=True)
