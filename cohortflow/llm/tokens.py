@@ -43,19 +43,21 @@ class TextEncoder:
         # separators that the two pattern engines may class differently, and special tokens, go the whole way
         self.odd = re.compile("[\x1c-\x1f\u180e]")
         self.whole = re.compile("|".join([*map(re.escape, special), self.odd.pattern]))
-        self.plain_tokenizer = Tokenizer.from_file(path)
-        self.plain_tokenizer.encode_special_tokens = True
 
-    def token_bytes(self) -> tuple[list[bytes], np.ndarray]:
+    @functools.cached_property
+    def token_bytes(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of each id (none for special tokens), and how many they are."""
-        table = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 2)]
-        return table, np.array([len(b) for b in table], np.int64)
+        table = [self.bytes.get(i, b"") for i in range(self.tokenizer.get_vocab_size())]
+        return np.array(table, object), np.array([len(b) for b in table], np.int64)
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text in which strings of special tokens are ordinary text."""
-        if self.odd.search(text):
-            return self.plain_tokenizer.encode(text, add_special_tokens=False).ids
-        return self.ranks.encode_ordinary(text)
+        if not self.odd.search(text):
+            return self.ranks.encode_ordinary(text)
+        self.tokenizer.encode_special_tokens = True
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = False
+        return ids
 
     def encode_one(self, text: str | None) -> bytes:
         text = text or ""
