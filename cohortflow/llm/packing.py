@@ -19,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
+from .common import spread
 from .orc_tokens import END
 from .tokens import TOKENIZER, encoder
 
@@ -30,33 +32,39 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
-def cut_points(n: int, capacity: int) -> list[int]:
-    """Where the pieces of n tokens end; only the first may be shorter than the capacity."""
-    return list(range(n % capacity or capacity, n + 1, capacity)) if n > capacity else [n]
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """One row per piece; `place` counts the pieces of that length before it in its partition."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seen = TaskContext.get().partitionId(), defaultdict(int)
-        for frame in frames:
-            rows = []
-            for doc_id, ids in zip(frame["doc_id"], encoder(tokenizer).encode(frame["text"].tolist())):
-                ids, start = ids + END, 0
-                for k, end in enumerate(cut_points(len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * end]
-                    row = (doc_id, k, start, end - start, zlib.crc32(own), part, seen[end - start])
-                    rows.append((*row, own) if with_ids else row)
-                    seen[end - start] += 1
-                    start = end
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"] + ["ids"] * with_ids
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            raw = [ids + END for ids in encoder(tokenizer).encode(batch.column("text").to_pylist())]
+            sizes = np.array([len(r) // 4 for r in raw], np.int64)
+            count = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(raw)), count)
+            piece = spread(np.zeros(len(raw), np.int64), count)
+            first = sizes - (count - 1) * capacity  # only the first piece may be shorter than the capacity
+            start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[row])
+            own = [raw[r][4 * a : 4 * b] if n > 1 else raw[r] for r, a, b, n in zip(row.tolist(), start.tolist(), (start + length).tolist(), count[row].tolist())]
+            order = np.argsort(length, kind="stable")
+            same = np.bincount(length, minlength=capacity + 1)
+            place = np.empty(len(length), np.int64)
+            place[order] = np.arange(len(length)) - np.repeat(np.cumsum(same) - same, same) + seen[length[order]]
+            seen += same
+            columns = [
+                batch.column("doc_id").take(pa.array(row)),
+                *[pa.array(c) for c in (piece.astype(np.int32), start, length)],
+                pa.array([zlib.crc32(x) for x in own], pa.int64()),
+                pa.array(np.full(len(row), part, np.int32)),
+                pa.array(place),
+            ]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.binary())] * with_ids, names=names)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInPandas(run, PIECES + (", ids binary" if with_ids else ""))
+    schema = PIECES + (", ids binary" if with_ids else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return slim.mapInArrow(run, schema)
 
 
 def reduce_by_dominance(counts: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -173,7 +181,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     table = placements(solve(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    based = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # a row for each partition, at most `capacity` entries in it
+    bases = based.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -186,6 +196,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER,
             at[own] = a + np.searchsorted(table["rank"][a:b], rank.to_numpy()[own], "right") - 1
         return pd.DataFrame({"sequence_id": table["sequence"][at] + rank.to_numpy() - table["rank"][at], "offset": table["offset"][at]})
 
-    placed = cut.join(bases, ["part", "length"]).withColumn("at", place("length", F.col("base") + F.col("place")))
+    placed = cut.join(bases, "part").withColumn("at", place("length", F.element_at("bases", F.col("length")) + F.col("place")))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     return placed.select(*names, "at.sequence_id", "at.offset")
