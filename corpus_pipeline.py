@@ -17,8 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return simhash_bk.keep_one_similar(docs)
+    """Keeps the document with the smallest id of each group that fingerprints of four-word shingles link at four or fewer differing bits."""
+    return simhash_bk.keep_one(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
