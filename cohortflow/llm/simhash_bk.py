@@ -7,10 +7,6 @@ full are cut again by blocks of their remaining bits, then into tiles, so nothin
 The trees go to their shard by a shuffle: a broadcast of all trees would grow with the corpus.
 A shard returns spanning links, at most one per member, and components are found over these.
 
-`keep_one_similar` reaches lower similarities than a radius can block for (near copies at Jaccard 0.8 differ by 5 to 15
-bits): shards are bands of min-hashes, their BK-trees answer with a wide radius, and what they link is only a candidate.
-Every pair of a candidate group within the radius is then decided by the Jaccard similarity of the whole texts' shingles.
-
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; equal fingerprints are one node, so
 copies never meet pairwise; rows without an id get the smallest id of their component, null if it has none; rows
 that repeat an id are kept; an empty table gives no rows; extra columns are ignored.
@@ -35,12 +31,6 @@ SEED = 42
 RADIUS = 4
 BITS = 64
 CROWDED = 2048
-SIMILAR_SHINGLE = 5
-SIMILARITY = 0.8
-SIMILAR_RADIUS = 24  # bits; at Jaccard 0.8 a pair differs by 9.7 on average, with a deviation of 2.9, more for a few words
-BANDS = 24  # of BAND_ROWS min-hashes: a pair at Jaccard 0.8 misses all with a chance of 7 in 100,000
-BAND_ROWS = 5
-SET_TILE = 512
 
 
 def shingle_values(text: str | None, size: int = SHINGLE) -> list[int]:
@@ -204,127 +194,3 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Data
     marked = docs.withColumn(name, simhash_udf(size)("text"))
     match = F.col("doc_id").eqNullSafe(chosen["kept_id"]) & (F.col(name) == chosen["kept_fp"])
     return marked.join(chosen, match, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
-
-
-def shingle_set(text: str | None, size: int = SIMILAR_SHINGLE) -> np.ndarray:
-    return np.unique(np.array(shingle_values(text, size), dtype="<u8"))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two shingle sets; two empty ones are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-_MIXERS = np.random.default_rng(SEED).integers(1, 2**63, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64) | np.uint64(1)
-
-
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of min-hashes of a shingle set."""
-    least = np.full(len(_MIXERS), np.iinfo(np.uint64).max)
-    for i in range(0, len(own), 1 << 12):  # bounds the products of a very long text
-        mixed = own[i : i + (1 << 12)] * _MIXERS
-        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min(axis=1))
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), seed=i) for i, r in enumerate(rows)], dtype="<u8")
-
-
-def _signature(size: int):
-    @F.pandas_udf("node long, fp long, bands array<long>")
-    def signature(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            own = shingle_set(text, size)
-            rows.append((xxhash.xxh3_64_intdigest(own.tobytes()), majority(own), band_keys(own).view("<i8")))
-        whole = np.array([r[:2] for r in rows], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"node": whole[:, 0], "fp": whole[:, 1], "bands": [r[2] for r in rows]})
-
-    return signature
-
-
-def _pairs(fps: np.ndarray, first: np.ndarray | None, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(member, members within the radius of it); with `first`, only members of first against the others. Equal fingerprints share a node."""
-    if first is None:
-        inside = outside = np.arange(len(fps))
-    else:
-        inside, outside = np.flatnonzero(first), np.flatnonzero(~first)
-    values, of = np.unique(fps[inside], return_inverse=True)
-    order = np.argsort(of, kind="stable")
-    edges = np.searchsorted(of[order], np.arange(len(values) + 1))
-    for node, hits in BKTree(values).search(fps[outside], radius):
-        for member in inside[order[edges[node] : edges[node + 1]]]:
-            yield int(member), outside[hits]
-
-
-def _candidates(radius: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in groups(frames, ["band", "key", "tile_a", "tile_b"]):
-            nodes, apart = group["node"].to_numpy(), group["tile_a"].iat[0] != group["tile_b"].iat[0]
-            first = group["tile"].to_numpy() == group["tile_a"].iat[0] if apart else None
-            labels = Labels(len(group))
-            for member, hits in _pairs(group["fp"].to_numpy().view(np.uint64), first, radius):
-                labels.join(member, hits)
-            linked = labels.of != np.arange(len(group))
-            if linked.any():
-                yield pd.DataFrame({"a": nodes[linked], "b": nodes[labels.of[linked]]})
-
-    return run
-
-
-def _verified(similarity: float, radius: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in groups(frames, ["component", "tile_a", "tile_b"]):
-            nodes, apart = group["node"].to_numpy(), group["tile_a"].iat[0] != group["tile_b"].iat[0]
-            first = group["tile"].to_numpy() == group["tile_a"].iat[0] if apart else None
-            sets = [np.frombuffer(v, "<u8") for v in group["shingles"]]
-            sizes, labels = np.array([len(v) for v in sets]), Labels(len(group))
-            for member, hits in _pairs(group["fp"].to_numpy().view(np.uint64), first, radius):
-                least, most = np.minimum(sizes[hits], sizes[member]), np.maximum(sizes[hits], sizes[member])
-                for other in hits[(least >= similarity * most - 1e-6) & (labels.of[hits] != labels.of[member])]:
-                    if labels.of[other] != labels.of[member] and jaccard(sets[member], sets[other]) >= similarity:
-                        labels.join(member, np.array([other]))
-            linked = labels.of != np.arange(len(group))
-            if linked.any():
-                yield pd.DataFrame({"a": nodes[linked], "b": nodes[labels.of[linked]]})
-
-    return run
-
-
-def _grouped(found: DataFrame, name: str) -> DataFrame:
-    """(node, name) of every node that has a link."""
-    found = cut_lineage(found.distinct())
-    ends = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
-    return cut_lineage(connected_components(ends, found).select(F.col("id").alias("node"), F.col("component").alias(name)))
-
-
-def keep_one_similar(docs: DataFrame, size: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """One row of docs for each group connected by pairs of at least this Jaccard similarity, the one with the smallest id; all columns kept.
-
-    A node is a set of shingles, so copies never meet pairwise. The bands suit similarities of 0.8 and more.
-    """
-    (name,) = fresh(docs, "sig")
-    marked = cut_lineage(docs.withColumn(name, _signature(size)("text")))
-    node = F.col(f"{name}.node")
-    nodes = marked.groupBy(node.alias("node")).agg(F.min("doc_id").alias("first"), F.min(F.struct(f"{name}.fp", f"{name}.bands")).alias("s"))
-    nodes = cut_lineage(nodes.select("node", "first", "s.fp", "s.bands"))
-    banded = nodes.select("node", "fp", F.posexplode("bands").alias("band", "key"))
-    shared = tiled(banded, ["band", "key"], "node", CROWDED)
-    near = _grouped(shared.mapInPandas(_candidates(radius), "a long, b long"), "component")
-
-    asked = near.join(nodes, "node").select("node", "component", "fp", "first")
-    texts = marked.select("doc_id", "text", node.alias("_node"))
-    texts = texts.join(asked, (texts["_node"] == asked["node"]) & texts["doc_id"].eqNullSafe(asked["first"])).dropDuplicates(["node"])
-
-    @F.pandas_udf("binary")
-    def sets(some: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, size).tobytes() for t in some], dtype=object)
-
-    rows = cut_lineage(texts.select("node", "component", "fp", sets("text").alias("shingles")))
-    same = tiled(rows, ["component"], "node", SET_TILE).mapInPandas(_verified(similarity, radius), "a long, b long")
-    named = nodes.select("node", "first").join(_grouped(same, "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    smallest = named.groupBy("group").agg(F.min("first").alias("least"))
-    chosen = named.join(smallest, "group").filter(F.col("first").eqNullSafe(F.col("least"))).groupBy("group").agg(F.min(F.struct("first", "node")).alias("k"))
-    chosen = cut_lineage(chosen.select(F.col("k.first").alias("kept_id"), F.col("k.node").alias("kept_node")))
-    own = marked.withColumn(name, node)
-    match = F.col("doc_id").eqNullSafe(chosen["kept_id"]) & (F.col(name) == chosen["kept_node"])
-    return own.join(chosen, match, "left_semi").dropDuplicates(["doc_id", name]).drop(name)

@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from cohortflow.llm import iblt, lattice, mixing, ngram_trie, orc_tokens, packing, quality, simhash_bk, suffix_radix
 from cohortflow.llm.queries import QUERIES
 from cohortflow.llm.tokens import encoder
@@ -192,75 +191,6 @@ def test_simhash_odd_cases(odd, odd_rows):
     assert simhash_bk.near_duplicates(odd.limit(0)).count() == 0 and simhash_bk.keep_one(odd.limit(0)).count() == 0
 
 
-def five_word_sets(texts):
-    out = []
-    for text in texts:
-        words = brute.WORDS.findall((text or "").translate(brute.LOWER))
-        out.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    return out
-
-
-def test_similar_documents_against_brute_force(spark):
-    """Pairs from 0.6 to 1: those at 0.8 and more lose a row, the others keep both."""
-    rng = np.random.default_rng(8)
-    rows = []
-    for k in range(120):
-        words = [f"w{rng.integers(10**6)}" for _ in range(int(rng.integers(6, 400)))]
-        if k % 3 == 0:
-            words += words[:40] * int(rng.integers(1, 5))  # repeated lines
-        changed, share = list(words), rng.uniform(0, 0.1)
-        for i in np.flatnonzero(rng.random(len(words)) < share / 2):
-            changed[i] = f"x{rng.integers(10**6)}"
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
-    rows += [(900 + i, "One  TWO three") for i in range(3)] + [(950, ""), (951, None), (952, "one two")]
-    sets, linked = five_word_sets([t for _, t in rows]), []
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a == b or (a & b and len(a & b) / len(a | b) >= 0.8):
-                linked.append((rows[i][0], rows[j][0]))
-    exact = brute.components([d for d, _ in rows], linked)
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert 40 < len(linked) < 110
-    assert sorted(r["doc_id"] for r in simhash_bk.keep_one_similar(frame).collect()) == sorted({g for g in exact.values()})
-
-
-def test_similar_documents_of_a_table(spark, folder):
-    frame = spark.read.parquet(f"{folder.replace('sf0.001', 'sf0.01')}/documents.parquet")
-    rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
-    sets, linked = five_word_sets([t for _, t in rows]), []
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if min(len(a), len(sets[j])) >= 0.79 * max(len(a), len(sets[j])) and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                linked.append((rows[i][0], rows[j][0]))
-    exact = brute.components([d for d, _ in rows], linked)
-    kept = corpus_pipeline.near_copy_stage(spark, frame, folder)
-    assert kept.dtypes == frame.dtypes and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(exact.values()))
-
-
-def test_similar_tiles_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash_bk, "CROWDED", 7)
-    monkeypatch.setattr(simhash_bk, "SET_TILE", 5)
-    rng = np.random.default_rng(9)
-    base = [f"w{i}" for i in range(300)]
-    rows = []
-    for d in range(40):
-        words = list(base)
-        words[int(rng.integers(300))] = f"x{d}"
-        rows.append((d, " ".join(words)))
-    rows.append((99, " ".join(f"y{i}" for i in range(300))))
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash_bk.keep_one_similar(frame).collect()) == [0, 99]
-
-
-def test_similar_odd_cases(odd):
-    kept = simhash_bk.keep_one_similar(odd)
-    assert kept.columns == odd.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(1) == 1 and 2 not in ids and ids.count(3) == 1 and 4 not in ids and ids.count(None) == 1
-    assert simhash_bk.keep_one_similar(odd.limit(0)).count() == 0
-
-
 # op5
 
 

@@ -1,7 +1,7 @@
 """The pipeline stage by stage against plain forms of its decisions."""
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import combinations
 
 import brute
@@ -47,20 +47,11 @@ def test_quality_stage(spark, stages):
 
 
 def test_near_copy_stage(stages):
-    """One document, the smallest id, stays of each group that five-word Jaccard similarities of 0.8 and more connect."""
+    """One document, the smallest id, stays of each group that fingerprints connect at four or fewer differing bits."""
     before, after = stages[1][1]
-    texts = rows(before)
-    words = {d: brute.WORDS.findall((t or "").translate(brute.LOWER)) for d, t in texts}
-    shingles = {d: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)} for d, w in words.items()}
-    holders = defaultdict(list)
-    for d, own in shingles.items():
-        for s in own:
-            holders[s].append(d)
-    shared = Counter()
-    for ids in holders.values():
-        shared.update(combinations(ids, 2))
-    linked = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(shingles[a]) + len(shingles[b]) - n)]
-    group = brute.components([d for d, _ in texts], linked)
+    prints = {d: brute.simhash(t) for d, t in rows(before)}
+    linked = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    group = brute.components(list(prints), linked)
     assert [d for d, _ in rows(after)] == sorted(d for d, g in group.items() if d == g)
 
 
