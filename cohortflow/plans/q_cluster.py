@@ -214,7 +214,7 @@ def cl_comember(spark, folder):
 
 @query("cl_stability")
 def cl_stability(spark, folder):
-    return round_doubles(cluster.stability(trajectories(spark, folder), "num_id", "vec", range(2, 4), 2))
+    return round_doubles(cluster.stability(trajectories(spark, folder), "num_id", "vec"))
 
 
 @query("cl_trajectory")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import cluster, distance, graph
+from cohortflow.operators import batched, cluster, distance, graph, resampled
 
 
 @pytest.fixture(scope="module")
@@ -187,9 +187,52 @@ def test_kmeans_labels_and_sweep(points):
     assert sweep[1]["silhouette"] is None and sweep[3]["inertia"] <= sweep[2]["inertia"] <= sweep[1]["inertia"]
 
 
-def test_stability_compares_halves(points):
-    got = cluster.stability(points[0], "id", "vec", [2], 2).collect()
-    assert len(got) == 2 and all(0 <= r["jaccard"] <= 1 for r in got)
+def separate_kmeans(x, centres):
+    while True:
+        label = np.array([np.argmin([((p - c) ** 2).sum() for c in centres]) for p in x])
+        moved = np.array([x[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centres)])
+        if np.allclose(moved, centres, rtol=0, atol=1e-12):
+            return label, ((x - centres[label]) ** 2).sum()
+        centres = moved
+
+
+def test_stability_equals_separate_fits(spark, monkeypatch):
+    monkeypatch.setattr(batched, "NUMBERS", 250)  # two samples at a time
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (301, 2)) + rng.integers(0, 3, (301, 1)) + 50
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vec array<double>").repartition(3)
+    odd = df.union(spark.createDataFrame([(900, None), (901, [1.0, None])], df.schema))
+    ks, starts, seed = [2, 3, 5, 151], 3, 42
+    got = {(r["k"], r["bootstrap"]): r for r in cluster.stability(odd, "id", "vec", ks, 5, seed=seed, starts=starts).collect()}
+    assert len(got) == 20 and all(got[151, b]["jaccard"] is None and got[151, b]["co_member"] is None for b in range(5))
+    h = np.array([r[0] for r in df.orderBy("id").select(F.xxhash64("id", F.lit(seed))).collect()], np.int64)
+    for b in range(5):
+        drawn = resampled.mixed(h, np.array([b]))[:, 0]
+        member = np.sort(np.argsort(drawn)[:150])
+        for k in ks[:3]:
+            best = []
+            for side in range(2):
+                fits = []
+                for s in range(starts):
+                    first = resampled.mixed(h[member], np.array([batched.STARTS_FROM + b * 2 * starts + side * starts + s]))[:, 0]
+                    fits.append(separate_kmeans(x[member], x[member][np.argsort(first)[:k]]))
+                least = min(cost for _, cost in fits)
+                best.append(next(label for label, cost in fits if cost <= least * (1 + 1e-9)))
+            same = [label[:, None] == label[None, :] for label in best]
+            upper = np.triu_indices(150, 1)
+            both, either = (same[0] & same[1])[upper].sum(), (same[0] | same[1])[upper].sum()
+            row = got[k, b]
+            assert row["unconverged"] == 0
+            assert row["co_member"] == pytest.approx(both / len(upper[0])) and row["jaccard"] == pytest.approx(both / either)
+
+
+def test_stability_of_ward_and_of_few_points(points, spark):
+    got = cluster.stability(points[0], "id", "vec", [2], 2, method="agg").collect()
+    assert len(got) == 2 and all(r["jaccard"] == 1.0 and 0 < r["co_member"] < 1 for r in got)
+    none = points[0].limit(0)
+    assert [r["jaccard"] for r in cluster.stability(none, "id", "vec", [2], 2).collect()] == [None, None]
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, vec array<double>")
+    assert {(r["co_member"], r["jaccard"], r["unconverged"]) for r in cluster.stability(same, "id", "vec", [2, 3], 2, starts=2).collect()} == {(1.0, 1.0, 0)}
 
 
 def test_distance_stats(points, monkeypatch):
