@@ -29,6 +29,7 @@ from .orc_tokens import END
 from .tokens import TOKENIZER, encoder
 
 CAPACITY = 2048
+SLICE = 512  # texts whose ids a task holds at a time
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
@@ -36,8 +37,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     """One row per piece; `place` counts the pieces of that length before it in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of earlier jobs of this worker
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             raw = [ids + END for ids in encoder(tokenizer).encode(batch.column("text").to_pylist())]
             sizes = np.array([len(r) // 4 for r in raw], np.int64)
             count = -(-sizes // capacity)
