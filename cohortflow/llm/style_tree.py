@@ -20,11 +20,14 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..session import cut_lineage
+from .common import slices
 
 LOW = 0.5  # a branch is removed below this importance ...
 CONTRAST = 0.6  # ... if it also is below this share of its parent's
@@ -242,9 +245,8 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def page_features(html: str | None) -> list[tuple[int, int, int, int]]:
+def page_features(page: Page) -> list[tuple[int, int, int, int]]:
     """(path, parent, kind, feature), each once: kind 0 is the page itself, 1 a child layout, 2 a text block below the path."""
-    page = parsed(html)
     out = {(path, above, 0, 0) for path, above in page.parents.items()}
     out |= {(path, page.parents[path], 1, layout) for path, layout in page.layouts}
     for paths, text, _ in page.blocks:
@@ -268,15 +270,41 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """The other columns of each page, its tree features as four parallel arrays and its blocks as three, from one parse of column html."""
+    kept = [f for f in pages.schema if f.name != "html"]
+    arrays = {
+        "path": ArrayType(LongType()), "parent": ArrayType(LongType()), "kind": ArrayType(IntegerType()), "feature": ArrayType(LongType()),
+        "chains": ArrayType(ArrayType(LongType())), "texts": ArrayType(StringType()), "anchors": ArrayType(StringType()),
+    }
+    schema = StructType([*kept, *[StructField(name, kind) for name, kind in arrays.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "html"):
+                columns: dict[str, list] = {name: [] for name in arrays}
+                for html in piece.column("html").to_pylist():
+                    page = parsed(html)
+                    for name, values in zip(("path", "parent", "kind", "feature"), zip(*page_features(page)) if page.parents else ((), (), (), ())):
+                        columns[name].append(values)
+                    columns["chains"].append([[_signed(p) for p in paths] for paths, _, _ in page.blocks])
+                    columns["texts"].append([text for _, text, _ in page.blocks])
+                    columns["anchors"].append([anchor for _, _, anchor in page.blocks])
+                found = [pa.array(columns[name], arrow.field(name).type) for name in arrays]
+                yield pa.RecordBatch.from_arrays([*[piece.column(f.name).cast(arrow.field(f.name).type) for f in kept], *found], schema=arrow)
+
+    return pages.mapInArrow(parse, schema)
+
+
 def style_tree(pages: DataFrame, content_share: float = CONTENT_SHARE) -> DataFrame:
     """(host, path, parent, pages, importance): one row per node of each host's tree. Needs columns host and html."""
+    return tree_of(parsed_pages(pages.select("host", "html")), content_share)
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(host, *f) for host, html in zip(frame["host"], frame["html"]) for f in page_features(html)]
-            yield pd.DataFrame(rows, columns=["host", "path", "parent", "kind", "feature"])
 
-    features = pages.select("host", "html").mapInPandas(emit, "host string, path long, parent long, kind int, feature long")
+def tree_of(parsed_rows: DataFrame, content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The tree of pages parsed before."""
+    features = parsed_rows.select("host", F.inline(F.arrays_zip("path", "parent", "kind", "feature")))
     counted = features.groupBy("host", "path", "parent", "kind", "feature").agg(F.count(F.lit(1)).alias("c"))
     c, kind = F.col("c").cast("double"), F.col("kind")
     node = counted.groupBy("host", "path", "parent").agg(
@@ -294,20 +322,31 @@ def style_tree(pages: DataFrame, content_share: float = CONTENT_SHARE) -> DataFr
 
 
 def low_branches(tree: DataFrame, low: float = LOW, contrast: float = CONTRAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, removed): the paths whose importance is low, in itself and next to its parent's."""
+    """(host, path): the branches whose importance is low, in itself and next to its parent's."""
     above = tree.select("host", F.col("path").alias("parent"), F.col("importance").alias("above"))
     poor = tree.filter((F.col("pages") >= min_pages) & (F.col("importance") < low)).join(above, ["host", "parent"])
-    return poor.filter(F.col("importance") < contrast * F.col("above")).groupBy("host").agg(F.collect_set("path").alias("removed"))
+    return poor.filter(F.col("importance") < contrast * F.col("above")).select("host", "path")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every page."""
-    named = with_host(pages)
-    removed = cut_lineage(low_branches(cut_lineage(style_tree(named))))
+def kept_text(removed: Column) -> Column:
+    """What `main_text` returns, of the arrays of `parsed_pages`."""
+    blocks = F.arrays_zip("chains", "texts", "anchors")
+    kept = F.filter(blocks, lambda b: ~F.arrays_overlap(b["chains"], removed))
+    of = lambda name: F.filter(kept, lambda b: b["anchors"].eqNullSafe(F.lit(name)))
+    anchored = F.exists("anchors", lambda a: a.isNotNull())
+    wanted = F.when(F.size(of("main")) > 0, of("main")).when((F.size(of("article")) > 0) | anchored, of("article")).otherwise(kept)
+    return F.array_join(F.transform(wanted, lambda b: b["texts"]), "\n")
 
-    @F.pandas_udf("string")
-    def text_of(html: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, set() if p is None else set(int(x) & (2**64 - 1) for x in p)) for h, p in zip(html, paths)], dtype=object)
 
-    texts = named.join(removed, "host", "left").select("page_id", "url", text_of("html", "removed").alias("text"))
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars for every page.
+
+    A page is parsed once. The branches to remove come to it by (host, path), a page's own at most.
+    """
+    rows = cut_lineage(parsed_pages(with_host(pages)).withColumn("row", F.monotonically_increasing_id()))
+    low = cut_lineage(low_branches(cut_lineage(tree_of(rows))))
+    own = rows.select("row", "host", F.explode(F.array_distinct(F.flatten("chains"))).alias("path"))
+    removed = own.join(low, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("removed"))
+    none = F.array().cast("array<bigint>")
+    texts = rows.join(removed, "row", "left").select("page_id", "url", kept_text(F.coalesce("removed", none)).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

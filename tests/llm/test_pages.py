@@ -1,5 +1,7 @@
 """Main text of pages."""
 
+from pyspark.sql import functions as F
+
 from cohortflow.llm import style_tree
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script><style>p{}</style></head><body>
@@ -92,3 +94,31 @@ def test_importance_is_the_entropy_formula(spark):
     got = sorted(round(r["importance"], 6) for r in tree)
     # same block on all pages: content 0; different blocks: content 1; layouts never vary. body: 4 + 4 blocks, half of the weight repeated
     assert got == [0.0, 0.0, 0.45, 0.9, 0.9]
+
+
+def test_filtered_blocks_equal_the_plain_form(spark):
+    """The stored parse, filtered in Spark, against the text read from the page, whatever branches go."""
+    pages = [
+        PAGE, "", None, "<body><main><p>a</p></main><article><p>b</p></article><p>c</p></body>", "<body><article><p>b</p><p class=x>d</p></article><p>c</p></body>",
+        "<body><p>a<p class=y>b</body>",
+    ]
+    rows = [(i, html, removed) for i, html in enumerate(pages) for removed in [[], *[[p] for p in sorted(style_tree.parsed(html).parents)]]]
+    table = [(i, html, [style_tree._signed(p) for p in removed]) for i, html, removed in rows]
+    parsed = style_tree.parsed_pages(spark.createDataFrame(table, "n int, html string, removed array<bigint>"))
+    got = parsed.select("n", "removed", style_tree.kept_text(F.col("removed")).alias("text")).collect()
+    want = sorted((i, tuple(removed), style_tree.main_text(html, {p % 2**64 for p in removed})) for i, html, removed in table)
+    assert sorted((r["n"], tuple(r["removed"]), r["text"]) for r in got) == want
+    assert len({t for _, _, t in want}) > 6
+
+
+def test_odd_rows_of_a_table(spark):
+    """Null and repeated ids, rows that differ under one id, a very long page, extra columns named like the operator's own."""
+    long_text = "word " * 400_000
+    rows = [
+        (None, None, None, 1, "h", [1]), (1, "http://a/x", "<p>one", 1, "h", [1]), (1, "http://a/y", "<p>two", 1, None, None),
+        (1, "http://a/y", "<p>two", 1, None, None), (2, "no url", f"<article><p>{long_text}</p></article>", None, "h", []),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, row int, host string, path array<int>")
+    got = style_tree.extract(pages).collect()
+    assert sorted(((r["page_id"] or 0), r["text"]) for r in got) == [(0, ""), (1, "one"), (1, "two"), (1, "two"), (2, long_text.strip())]
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
