@@ -341,12 +341,13 @@ def kept_text(removed: Column) -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page.
 
-    A page is parsed once. The branches to remove come to it by (host, path), a page's own at most.
+    A page is parsed once. The branches to remove come to it by (host, path), a page's own at most. They are written before the
+    texts are joined, so that their size is known and the texts only move where it is large.
     """
     rows = cut_lineage(parsed_pages(with_host(pages)).withColumn("row", F.monotonically_increasing_id()))
     low = cut_lineage(low_branches(cut_lineage(tree_of(rows))))
     own = rows.select("row", "host", F.explode(F.array_distinct(F.flatten("chains"))).alias("path"))
-    removed = own.join(low, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("removed"))
+    removed = cut_lineage(own.join(low, ["host", "path"]).groupBy("row").agg(F.collect_list("path").alias("removed")))
     none = F.array().cast("array<bigint>")
     texts = rows.join(removed, "row", "left").select("page_id", "url", kept_text(F.coalesce("removed", none)).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
