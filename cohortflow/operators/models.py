@@ -113,7 +113,7 @@ def forest_tail(
 
 
 def walk_forward_subjects(
-    panel: DataFrame, cols: list[str], target: str, share: float = 0.2, more_than: int = 8, trees: int = 50,
+    panel: DataFrame, cols: list[str], target: str, share: float = 0.3, more_than: int = 8, trees: int = 500,
     key: str = "num_id", time: str = "dt", seed: int = 42,
 ) -> DataFrame:
     """Per subject: refit a forest on all earlier days and predict the next, over the last `share`.

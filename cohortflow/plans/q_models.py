@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, features, impute, models, ordering, resampled, splits, stats, timeline, transform
+from ..operators import aggregates, features, impute, models, ordering, resampled, splits, stats, timeline, transform, walk
 from ..sources import tables
 from . import fixtures as fx
 from .q_cluster import WEEK_COLS, trajectories, vectors
@@ -265,13 +265,20 @@ def md_walk_linear(spark, folder):
 @query("md_walk")
 def md_walk(spark, folder):
     day = fx.sensor_day(spark, folder)
-    return round_doubles(models.walk_forward_subjects(day, ["n_events", "day"], "all_mean", trees=10))
+    return round_doubles(models.walk_forward_subjects(day, ["n_events", "day"], "all_mean"))
+
+
+@query("md_walk_metrics")
+def md_walk_metrics(spark, folder):
+    """Error of each subject's own walk."""
+    day = fx.sensor_day(spark, folder)
+    return round_doubles(walk.walk_metrics(models.walk_forward_subjects(day, ["n_events", "day"], "all_mean"), ["num_id"]))
 
 
 @query("md_walk_stacked")
 def md_walk_stacked(spark, folder):
     day = fx.sensor_day(spark, folder)
-    return round_doubles(models.walk_forward_blocks(day, ["n_events", "day"], "all_mean", start=2, trees=10))
+    return round_doubles(walk.walk_forward_stacked(day, ["n_events", "day"], "all_mean", "day", ["num_id", "dt"]).drop("day"))
 
 
 @query("md_dt_reg")
