@@ -8,39 +8,45 @@ from __future__ import annotations
 import numpy as np
 
 
-def _grow(x, y, rng, depth, min_rows):
-    if depth == 0 or len(y) < min_rows or np.ptp(y) == 0:
-        return float(y.mean())
-    features = rng.permutation(x.shape[1])[: max(1, (x.shape[1] + 2) // 3)].repeat(4)
-    low, high = x.min(axis=0)[features], x.max(axis=0)[features]
-    cuts = rng.uniform(low, high)
-    left = x[:, features] <= cuts
-    n, s = left.sum(axis=0), y @ left
-    usable = (n > 0) & (n < len(y))
-    if not usable.any():
-        return float(y.mean())
-    # the largest between-side sum of squares is the smallest remaining variance
-    gain = s**2 / np.maximum(n, 1) + (y.sum() - s) ** 2 / np.maximum(len(y) - n, 1)
-    at = int(np.argmax(np.where(usable, gain, -np.inf)))
-    f, cut, go = features[at], cuts[at], left[:, at]
-    return f, cut, _grow(x[go], y[go], rng, depth - 1, min_rows), _grow(x[~go], y[~go], rng, depth - 1, min_rows)
-
-
-def _walk(node, x, rows, out):
-    if isinstance(node, float):
-        out[rows] += node
-        return
-    f, cut, left, right = node
-    go = x[rows, f] <= cut
-    _walk(left, x, rows[go], out)
-    _walk(right, x, rows[~go], out)
-
-
 def forest_predict(x, y, x_new, trees=30, depth=6, min_rows=4, seed=0):
-    """Mean prediction of bootstrapped randomised trees."""
+    """Mean prediction of bootstrapped randomised trees; all trees grow together, level by level, on flat arrays."""
     rng = np.random.default_rng(seed)
-    out = np.zeros(len(x_new))
-    for _ in range(trees):
-        pick = rng.integers(0, len(y), len(y))
-        _walk(_grow(x[pick], y[pick], rng, depth, min_rows), x_new, np.arange(len(x_new)), out)
+    pick = rng.integers(0, len(y), (trees, len(y))).ravel()
+    xs, ys, node = x[pick], y[pick], np.repeat(np.arange(trees), len(y))
+    new, at = np.tile(np.arange(len(x_new)), trees), np.repeat(np.arange(trees), len(x_new))
+    out, count, width = np.zeros(len(x_new)), trees, x.shape[1]
+    for level in range(depth + 1):
+        n, s = np.bincount(node, minlength=count), np.bincount(node, ys, count)
+        mean = s / np.maximum(n, 1)
+        split = np.zeros(count, bool)
+        if level < depth and count:
+            tried = rng.random((count, width)).argsort(axis=1)[:, : max(1, (width + 2) // 3)].repeat(4, axis=1)
+            low, high = np.full((count, width), np.inf), np.full((count, width), -np.inf)
+            np.minimum.at(low, node, xs)
+            np.maximum.at(high, node, xs)
+            every = np.arange(count)[:, None]
+            cuts = rng.uniform(low[every, tried], high[every, tried])
+            ranges = np.full(count, np.inf), np.full(count, -np.inf)
+            np.minimum.at(ranges[0], node, ys)
+            np.maximum.at(ranges[1], node, ys)
+            rows, gain = np.arange(len(ys)), np.full(tried.shape, -np.inf)
+            for c in range(tried.shape[1]):
+                left = (xs[rows, tried[node, c]] <= cuts[node, c]).astype(float)
+                ln, ls = np.bincount(node, left, count), np.bincount(node, left * ys, count)
+                # the largest between-side sum of squares is the smallest remaining variance
+                both = ls**2 / np.maximum(ln, 1) + (s - ls) ** 2 / np.maximum(n - ln, 1)
+                gain[:, c] = np.where((ln > 0) & (ln < n), both, -np.inf)
+            best = gain.argmax(axis=1)
+            split = np.isfinite(gain.max(axis=1)) & (n >= min_rows) & (ranges[1] > ranges[0])
+        ends = ~split[at]
+        out += np.bincount(new[ends], mean[at[ends]], len(x_new))
+        if not split.any():
+            break
+        feature, cut = tried[np.arange(count), best], cuts[np.arange(count), best]
+        number = 2 * (split.cumsum() - 1)
+        keep, stay = split[node], split[at]
+        xs, ys, node, new, at = xs[keep], ys[keep], node[keep], new[stay], at[stay]
+        node = number[node] + (xs[np.arange(len(ys)), feature[node]] > cut[node])
+        at = number[at] + (x_new[new, feature[at]] > cut[at])
+        count = 2 * int(split.sum())
     return out / trees
