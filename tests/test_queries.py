@@ -8,7 +8,7 @@ import compare
 QUERIES = registered.queries()
 ORACLES = registered.oracle_sql()
 # half an hour of model fits adds nothing to what test_models and test_cluster check
-LONG = {"md_compare", "md_rlr", "im_forest", "im_forest_col", "im_forest_subj", "md_svm", "md_dt_cls", "cl_dbscan_sweep", "cl_stability", "md_walk"}
+LONG = {"md_compare", "md_rlr", "im_forest", "im_forest_col", "im_forest_subj", "md_svm", "md_dt_cls", "cl_dbscan_sweep", "cl_stability", "md_walk", "md_walk_metrics"}
 
 
 def test_every_oracle_has_a_query():
