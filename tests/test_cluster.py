@@ -250,3 +250,47 @@ def test_co_membership(spark):
     either = sum(a[i] == a[j] or b[i] == b[j] for i, j in pairs)
     row = cluster.co_membership(df, "a", "b").first()
     assert row["co_member"] == pytest.approx(both / len(pairs)) and row["jaccard"] == pytest.approx(both / either)
+
+
+@pytest.mark.parametrize("linkage", cluster.LINKAGES)
+def test_copies_do_not_change_the_hierarchy(spark, monkeypatch, linkage):
+    """Copies merge first: rounds and comparisons follow the distinct vectors, also where clusters outgrow the last task."""
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(cluster, "LAST_CLUSTERS", 12)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 3, (30, 2)).repeat(rng.integers(1, 5, 30), axis=0)
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "id long, vec array<double>")
+    rounds, before = [], cluster._nearest_clusters
+    monkeypatch.setattr(cluster, "_nearest_clusters", lambda c, *a: rounds.append(c.count()) or before(c, *a))
+    got = {r["id"]: r["cluster"] for r in cluster.subject_hierarchy(df, "id", "vec", 5, linkage).collect()}
+    members = {i: [i] for i in range(len(x))}
+    for s, (a, b, _, _) in enumerate(cluster.linkage_steps(matrix(x, "euclidean"), linkage)[: len(x) - 5]):
+        members[len(x) + s] = members.pop(a) + members.pop(b)
+    assert got == {i: c for c, group in enumerate(sorted(members.values(), key=min)) for i in group}
+    assert linkage == "single" or rounds[0] == 30
+
+
+def test_each_distinct_vector_is_compared_once(points, monkeypatch):
+    """Sums over pairs weigh copies instead of comparing them."""
+    df, x = points
+    seen, before = [], distance.block_pairs
+    monkeypatch.setattr(distance, "block_pairs", lambda p, *a, **k: seen.append(p.count()) or before(p, *a, **k))
+    monkeypatch.setattr(cluster, "block_pairs", distance.block_pairs)
+    n = len(np.unique(x, axis=0))
+    d = matrix(x, "dtw")
+    row = distance.distance_stats(df, "id", "vec", "dtw").first()
+    assert row["max"] == pytest.approx(d.max()) and row["mean"] == pytest.approx(d.mean())
+    got = cluster.dbscan(df, "id", "vec", [0.7], 5, "dtw").toPandas().sort_values("id")["label"].to_numpy()
+    assert (got == naive_dbscan(d, 0.7, 5)).all()
+    cluster.distance_row_kmeans(df, "id", "vec", 2, "dtw")
+    cluster.classical_scaling(df, "id", "vec", max_steps=1)
+    assert n < len(x) and set(seen) == {n}
+
+
+def test_distances_by_product_keep_small_ones():
+    rng = np.random.default_rng(5)
+    a = rng.normal(100, 1, (40, 16))
+    b = np.concatenate([a[:10], a[10:20] + 1e-7, rng.normal(100, 1, (5, 16))])
+    exact = np.sqrt(np.square(a[:, None] - b[None]).sum(axis=2))
+    assert np.allclose(distance.near_euclidean(a, b), exact, rtol=1e-9, atol=0) and (np.diag(distance.near_euclidean(a, a)) == 0).all()
