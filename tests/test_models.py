@@ -167,3 +167,21 @@ def test_rows_that_share_a_key_are_an_error(spark):
     df = spark.createDataFrame([(1, 1.0, None), (1, 2.0, 3.0), (2, None, 4.0)], "idx long, a double, b double")
     with pytest.raises(ValueError):
         impute.forest_impute(df, ["a", "b"])
+
+
+@pytest.mark.parametrize("width", [2, 16])
+def test_neighbours_equal_brute_force_with_ties(spark, monkeypatch, width):
+    """Text ids, many equal points and blocks of several tiles."""
+    from cohortflow.operators import distance
+
+    monkeypatch.setattr(distance, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(distance, "LEAST_BLOCKS", 2)
+    rng = np.random.default_rng(width)
+    x, y, fold = rng.integers(0, 4 if width == 2 else 2, (150, width)).astype(float), rng.integers(0, 3, 150), np.arange(150) % 4
+    ids = [f"p{i:03d}" for i in rng.permutation(150)]
+    df = spark.createDataFrame([(ids[i], x[i].tolist(), int(y[i]), int(fold[i])) for i in range(150)], "item string, vec array<double>, y int, fold int")
+    got = {r["item"]: r["prediction"] for r in models.knn_cross_predict(df, "item", "vec", "y", "fold", 5).collect()}
+    for i in range(150):
+        order = sorted((j for j in range(150) if fold[j] != fold[i]), key=lambda j: (np.square(x[i] - x[j]).sum(), ids[j]))[:5]
+        votes = np.bincount(y[order], minlength=3)
+        assert got[ids[i]] == votes.argmax()
