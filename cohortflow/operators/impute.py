@@ -15,7 +15,7 @@ from ..functions.small_forest import forest_predict
 from ..session import cut_lineage
 from .ordering import below_cut, hash_cut, unpivot
 from .stats import ks_two_sample
-from .timeline import require_panel
+from .timeline import by_subject, require_panel
 
 # ------------------------------------------------------------------- masking
 
@@ -265,4 +265,4 @@ def forest_impute_subjects(
             pdf["imputed"] = 1.0
         return pdf
 
-    return rows.groupBy(key).applyInPandas(one, schema)
+    return by_subject(rows, key).applyInPandas(one, schema)

@@ -18,12 +18,12 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..functions.small_forest import forest_predict
+from ..functions.small_forest import forests_predict
 from ..session import cut_lineage, release
 from .distance import SUMMED, block_pairs, map_pairs, paired
 from .splits import kfold, random_split, tail_holdout
 from .stats import auc, regression_metrics
-from .timeline import require_panel
+from .timeline import by_subject, require_panel
 
 # --------------------------------------------------------------------- trees
 
@@ -132,10 +132,10 @@ def walk_forward_subjects(
         if n <= more_than:
             start = n
         x, y = pdf[cols].to_numpy(), pdf["y"].to_numpy()
-        guess = [float(forest_predict(x[:i], y[:i], x[i : i + 1], trees, seed=seed + i)[0]) for i in range(start, n)]
-        return pdf.iloc[start:][[key, time, "y"]].assign(prediction=guess)
+        guess = forests_predict([(x[:i], y[:i], x[i : i + 1], seed + i) for i in range(start, n)], trees)
+        return pdf.iloc[start:][[key, time, "y"]].assign(prediction=[float(g[0]) for g in guess])
 
-    return rows.groupBy(key).applyInPandas(one, schema)
+    return by_subject(rows, key).applyInPandas(one, schema)
 
 
 def walk_forward_blocks(df: DataFrame, cols: list[str], target: str, block: str = "week", start: int = 1, trees: int = 50, keys: list[str] = ("num_id", "dt"), seed: int = 42) -> DataFrame:
