@@ -291,3 +291,19 @@ def test_distances_by_product_keep_small_ones():
     b = np.concatenate([a[:10], a[10:20] + 1e-7, rng.normal(100, 1, (5, 16))])
     exact = np.sqrt(np.square(a[:, None] - b[None]).sum(axis=2))
     assert np.allclose(distance.near_euclidean(a, b), exact, rtol=1e-9, atol=0) and (np.diag(distance.near_euclidean(a, a)) == 0).all()
+
+
+def test_assigned_points_of_each_sample():
+    rng = np.random.default_rng(2)
+    v, inside = rng.normal(size=(40, 3)), rng.random((40, 5)) < 0.4
+    inside[:, 4] = False
+    v1, norm = batched._members(v, inside)
+    centres = rng.normal(size=(5, 4, 3))
+    centres[:, 3] = centres[:, 1]  # equal centres: the first takes all
+    nearest, gap = batched._assigned(v1, centres)
+    for s in range(5):
+        own = v[inside[:, s]]
+        d = ((own[:, None] - centres[s]) ** 2).sum(axis=2)
+        label = d[:, :3].argmin(axis=1)
+        sums = np.array([[*own[label == j].sum(axis=0), (label == j).sum()] for j in range(4)])
+        assert np.allclose(nearest[s] @ v1[s], sums) and np.isclose(gap[s] + norm[s], d.min(axis=1).sum() if len(own) else 0.0)
