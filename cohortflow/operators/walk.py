@@ -30,7 +30,11 @@ def row_weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
         x = keys.astype(np.uint64) + np.uint64(((seed << 20) + tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.searchsorted(POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+    uniform = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+    weights = np.zeros(len(uniform))
+    for step in POISSON:
+        weights += uniform >= step
+    return weights
 
 
 class Trees:
@@ -69,13 +73,24 @@ class Trees:
         return total / len(self.feature)
 
 
-def histograms(bins, after, y, w, rows, steps: int, width: int) -> np.ndarray:
+def cells(bins: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each cell, each row's cell); the rows of a cell have equal bins and the same first step and share all nodes."""
+    order = np.lexsort([*bins.T, after])
+    own = np.column_stack([bins, after])[order]
+    fresh = np.ones(len(own), bool)
+    fresh[1:] = (own[1:] != own[:-1]).any(axis=1)
+    cell = np.empty(len(own), np.int64)
+    cell[order] = np.cumsum(fresh) - 1
+    return order[fresh], cell
+
+
+def histograms(bins, after, wy, w, rows, steps: int, width: int) -> np.ndarray:
     """2 x steps x features x bins: weights and weighted targets of a node's rows by the first step that may use them."""
     out = np.empty((2, steps, bins.shape[1], width))
     for f in range(bins.shape[1]):
         cell = after[rows] * width + bins[rows, f]
         out[0, :, f] = np.bincount(cell, w[rows], steps * width).reshape(steps, width)
-        out[1, :, f] = np.bincount(cell, (w * y)[rows], steps * width).reshape(steps, width)
+        out[1, :, f] = np.bincount(cell, wy[rows], steps * width).reshape(steps, width)
     return out
 
 
@@ -159,9 +174,13 @@ def walk_forward_stacked(
     def counted(level: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for group, (x, after, key, y) in _compact(frames, edges, held):
+                first, cell = cells(x, after)
+                x, after, gap = x[first], after[first], y - shift
                 for tree in range(group, trees, groups):
+                    # a tree weighs rows, then counts cells
                     w = row_weights(key, tree, seed)
-                    nodes = [histograms(x, after, y - shift, w, at, steps, bins).ravel() for _, _, at in model.slots(tree, level, x, after)]
+                    n, s = np.bincount(cell, w, len(first)), np.bincount(cell, w * gap, len(first))
+                    nodes = [histograms(x, after, s, n, at, steps, bins).ravel() for _, _, at in model.slots(tree, level, x, after)]
                     if nodes:
                         yield pd.DataFrame({"tree": [tree], "h": [np.concatenate(nodes)]})
 

@@ -105,3 +105,10 @@ def test_odd_tables(spark):
 def test_resample_weights_are_poisson():
     w = np.concatenate([walk.row_weights(np.arange(20000, dtype=np.int64) - 7, t, 1) for t in range(3)])
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04
+
+
+def test_cells_hold_equal_rows():
+    bins, after = np.array([[1, 2], [1, 2], [0, 2], [1, 2], [0, 2]], np.int16), np.array([0, 1, 0, 0, 0])
+    first, cell = walk.cells(bins, after)
+    assert len(first) == 3 and cell[0] == cell[3] and cell[2] == cell[4] and len(set(cell)) == 3
+    assert all((bins[first[c]] == bins[i]).all() and after[first[c]] == after[i] for i, c in enumerate(cell))
