@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,11 +12,11 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.small_forest import forest_predict
+from ..functions.small_forest import forests_predict
 from ..session import cut_lineage
 from .ordering import below_cut, hash_cut, unpivot
 from .stats import ks_two_sample
-from .timeline import by_subject, require_panel
+from .timeline import require_panel, spread_subjects
 
 # ------------------------------------------------------------------- masking
 
@@ -63,7 +64,10 @@ def imputation_error(mask: DataFrame, imputed: DataFrame, idx: str = "idx", p_va
     """
     cols = [f.name for f in imputed.schema.fields if f.name != idx and f.dataType.simpleString() in ("double", "float", "int", "bigint")]
     guess = unpivot(imputed, [idx], cols, val="guess")
-    both = mask.join(guess, [idx, "variable"], "left")
+    return _error_of(mask.join(guess, [idx, "variable"], "left"), p_values)
+
+
+def _error_of(both: DataFrame, p_values: bool = True) -> DataFrame:
     v, g = F.col("value"), F.col("guess")
     sse = F.sum((v - g) * (v - g))
     n = F.count(F.lit(1))
@@ -153,6 +157,28 @@ def _forest_rounds(df: DataFrame, cols: list[str], predictors: list[str], rounds
     return current.drop(*flags)
 
 
+def _trial(df: DataFrame, cols: list[str], predictors: list[str], idx: str, share: float, rounds: int, trees: int, depth: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(df's rows with a column `_i_` of known or imputed values for each of cols, error row) of a run with hidden cells.
+
+    Truth and guess of a cell stay in one row, so nothing is joined; a row without a key keeps its gaps.
+    """
+    used = sorted({*cols, *predictors})
+    masked, _ = mask_cells(df.withColumns({f"_t_{c}": F.col(c) for c in used}), cols, idx, share, seed)
+    masked = masked.withColumns({f"_h_{c}": F.col(c).isNull() & F.col(f"_t_{c}").isNotNull() for c in cols})
+    filled = _forest_rounds(masked, cols, predictors, rounds, trees, depth, seed)
+    known = F.col(idx).isNotNull()
+    cells = [F.struct(F.col(f"_h_{c}").alias("hidden"), F.col(f"_t_{c}").cast("double").alias("value"), F.when(known, F.col(c)).alias("guess")) for c in cols]
+    both = filled.select(F.inline(F.array(*cells))).filter("hidden").select("value", "guess")
+    done = {f"_i_{c}": F.coalesce(F.col(f"_t_{c}").cast("double"), F.when(known, F.col(c))) for c in cols}
+    kept = [F.col(f"_t_{c}").alias(c) if c in used else F.col(c) for c in df.columns]
+    return filled.withColumns(done).select(*kept, *done), _error_of(both)
+
+
+def _taken(rows: DataFrame, columns: list[str], cols: list[str], idx: str) -> DataFrame:
+    """`columns`, the key first, with the values of `_i_` in place of cols."""
+    return rows.select(idx, *[F.col(f"_i_{c}").alias(c) if c in cols else F.col(c) for c in columns if c != idx])
+
+
 def forest_impute(
     df: DataFrame, cols: list[str], idx: str = "idx", min_observed: float = 0.6, min_r2: float = 0.8, share: float = 0.1,
     rounds: int = 5, trees: int = 20, depth: int = 8, seed: int = 42, legacy_accept: bool = False,
@@ -177,18 +203,14 @@ def forest_impute(
         return df, status("nothing to impute")
     if sum(counts[c] for c in usable) / (counts["n"] * len(usable)) < min_observed:
         return df, status("too sparse")
-    masked, mask = mask_cells(df, usable, idx, share, seed)
-    mask = cut_lineage(mask)
-    filled = cut_lineage(_forest_rounds(masked.select(idx, *usable), usable, usable, rounds, trees, depth, seed))
-    error = imputation_error(mask, filled).first()
+    filled, scores = _trial(df, usable, usable, idx, share, rounds, trees, depth, seed)
+    error = scores.first()
     good = error["r2"] is not None and error["r2"] > min_r2
     if legacy_accept:
         good = good or (error["ks_p"] is not None and error["ks_p"] < 0.05)
     if not good:
         return df, status("rejected", error["r2"], error["ks_p"], error["rmse_scaled"])
-    guesses = filled.select(idx, *[F.col(c).alias(f"_g_{c}") for c in usable])
-    out = df.join(guesses, idx, "left").withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_g_{c}")) for c in usable})
-    return out.drop(*[f"_g_{c}" for c in usable]), status("imputed", error["r2"], error["ks_p"], error["rmse_scaled"])
+    return _taken(filled, df.columns, usable, idx), status("imputed", error["r2"], error["ks_p"], error["rmse_scaled"])
 
 
 def forest_impute_columns(
@@ -204,18 +226,36 @@ def forest_impute_columns(
         if not gates[c]["passes"]:
             report.append((c, "gate", None))
             continue
-        masked, mask = mask_column(df, c, idx, share, seed)
-        mask = cut_lineage(mask)
-        filled = cut_lineage(_forest_rounds(masked.select(idx, *{c, *predictors}), [c], predictors, rounds, trees, depth, seed).select(idx, c))
-        error = imputation_error(mask, filled).first()
+        filled, scores = _trial(out, [c], predictors, idx, share, rounds, trees, depth, seed)
+        error = scores.first()
         if error["baseline_r2"] is None or error["r2"] <= min_r2:
             report.append((c, "rejected", error["r2"]))
             continue
-        out = out.join(filled.select(idx, F.col(c).alias("_g")), idx, "left").withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("_g"))).drop("_g")
+        out = filled
         report.append((c, "imputed", error["r2"]))
+    done = [c for c, name, _ in report if name == "imputed"]
+    if done:
+        out = _taken(out, df.columns, done, idx)
     return out, df.sparkSession.createDataFrame(report, "variable string, status string, r2 double")
 
 
+def _together(tasks: list[Generator]) -> list:
+    """Results of generators that yield forest jobs (x, y, x_new, seed, trees); the jobs of one turn grow together."""
+    out, waiting = [None] * len(tasks), {i: None for i in range(len(tasks))}
+    while waiting:
+        jobs: dict[tuple[int, int], list] = {}
+        for i, answer in waiting.items():
+            try:
+                *job, trees = tasks[i].send(answer)
+                jobs.setdefault((job[0].shape[1], trees), []).append((i, job))
+            except StopIteration as end:
+                out[i] = end.value
+        waiting = {}
+        for (_, trees), some in jobs.items():
+            waiting.update(zip([i for i, _ in some], forests_predict([job for _, job in some], trees)))
+    return out
+
+
 def forest_impute_subjects(
     panel: DataFrame, cols: list[str], key: str = "num_id", time: str = "dt", min_rows: int = 20, min_observed: float = 0.6,
     min_r2: float = 0.8, share: float = 0.1, rounds: int = 3, trees: int = 20, seed: int = 42,
@@ -230,7 +270,7 @@ def forest_impute_subjects(
     rows = panel.withColumns({c: F.col(c).cast("double") for c in cols}).join(gates, key)
     schema = StructType([*[f for f in rows.schema.fields if f.name != "passes"], StructField("imputed", DoubleType()), StructField("impute_r2", DoubleType())])
 
-    def fill(x: np.ndarray, base: int) -> np.ndarray:
+    def fill(x: np.ndarray, base: int) -> Generator:
         missing = np.isnan(x)
         full = np.where(missing, np.nanmean(x, axis=0), x)
         order = [c for c in np.argsort(missing.sum(axis=0)) if missing[:, c].any()]
@@ -238,10 +278,10 @@ def forest_impute_subjects(
             for c in order:
                 rest = np.delete(full, c, axis=1)
                 seen = ~missing[:, c]
-                full[~seen, c] = forest_predict(rest[seen], x[seen, c], rest[~seen], trees, seed=base + r)
+                full[~seen, c] = yield rest[seen], x[seen, c], rest[~seen], base + r, trees
         return full
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> Generator:
         passes = bool(pdf["passes"].iloc[0])
         pdf = pdf.drop(columns="passes").sort_values(time).assign(imputed=0.0, impute_r2=np.nan)
         use = [c for c in cols if pdf[c].notna().any()]
@@ -256,13 +296,26 @@ def forest_impute_subjects(
         trial[hide[:, 0], hide[:, 1]] = np.nan
         if np.isnan(trial).all(axis=0).any():
             return pdf
-        truth, guess = x[hide[:, 0], hide[:, 1]], fill(trial, base)[hide[:, 0], hide[:, 1]]
+        guess = yield from fill(trial, base)
+        truth, guess = x[hide[:, 0], hide[:, 1]], guess[hide[:, 0], hide[:, 1]]
         spread = ((truth - truth.mean()) ** 2).sum()
         r2 = 1 - ((truth - guess) ** 2).sum() / spread if spread else np.nan
         pdf["impute_r2"] = r2
         if r2 > min_r2:
-            pdf[use] = np.where(np.isnan(x), fill(x, base), x)
+            full = yield from fill(x, base)
+            pdf[use] = np.where(np.isnan(x), full, x)
             pdf["imputed"] = 1.0
         return pdf
 
-    return by_subject(rows, key).applyInPandas(one, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None  # rows of the last subject, which may go on in the next frame
+        for frame in frames:
+            frame = frame if rest is None or not len(rest) else pd.concat([rest, frame], ignore_index=True)
+            last = (frame[key] == frame[key].iloc[-1]).to_numpy().argmax() if len(frame) else 0
+            rest, whole = frame.iloc[last:], frame.iloc[:last]
+            if len(whole):
+                yield pd.concat(_together([one(pdf) for _, pdf in whole.groupby(key, sort=False)]))
+        if rest is not None and len(rest):
+            yield pd.concat(_together([one(rest)]))
+
+    return spread_subjects(rows, key).sortWithinPartitions(key).mapInPandas(run, schema)

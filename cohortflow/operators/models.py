@@ -23,7 +23,7 @@ from ..session import cut_lineage, release
 from .distance import SUMMED, block_pairs, map_pairs, paired
 from .splits import kfold, random_split, tail_holdout
 from .stats import auc, regression_metrics
-from .timeline import by_subject, require_panel
+from .timeline import require_panel, spread_subjects
 
 # --------------------------------------------------------------------- trees
 
@@ -135,7 +135,7 @@ def walk_forward_subjects(
         guess = forests_predict([(x[:i], y[:i], x[i : i + 1], seed + i) for i in range(start, n)], trees)
         return pdf.iloc[start:][[key, time, "y"]].assign(prediction=[float(g[0]) for g in guess])
 
-    return by_subject(rows, key).applyInPandas(one, schema)
+    return spread_subjects(rows, key).groupBy(key).applyInPandas(one, schema)
 
 
 def walk_forward_blocks(df: DataFrame, cols: list[str], target: str, block: str = "week", start: int = 1, trees: int = 50, keys: list[str] = ("num_id", "dt"), seed: int = 42) -> DataFrame:

@@ -49,12 +49,12 @@ def require_panel(df: DataFrame, key: str = "num_id", time: str = "dt") -> None:
         raise ValueError(f"several rows share {key} and {time}: collapse them first")
 
 
-def by_subject(df: DataFrame, key: str = "num_id"):
-    """Groups of a panel for heavy work per subject: few bytes, too, are work for all cores, so their partitions are not joined."""
+def spread_subjects(df: DataFrame, key: str = "num_id") -> DataFrame:
+    """A panel dealt by subject for heavy work per subject: few bytes, too, are work for all cores, so partitions are not joined."""
     spark = df.sparkSession
     # never the number of the shuffle before it: Spark would take both for the same one and join its partitions again
     spread = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
-    return df.repartition(spread, key).groupBy(key)
+    return df.repartition(spread, key)
 
 
 def assign_week(df: DataFrame, key: str = "num_id", time: str = "dt", out: str = "week", panel: bool = False) -> DataFrame:

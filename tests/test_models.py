@@ -185,3 +185,33 @@ def test_neighbours_equal_brute_force_with_ties(spark, monkeypatch, width):
         order = sorted((j for j in range(150) if fold[j] != fold[i]), key=lambda j: (np.square(x[i] - x[j]).sum(), ids[j]))[:5]
         votes = np.bincount(y[order], minlength=3)
         assert got[ids[i]] == votes.argmax()
+
+
+def test_imputation_keeps_truth_and_guess_in_one_row(spark):
+    rows = [(f"r{i}", i % 7, None if i % 9 == 0 else float(i % 50), None if i % 8 == 1 else 2.0 * (i % 50), None if i == 5 else 1.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "idx string, n long, a double, b double, c double")
+    one, status = impute.forest_impute(df, ["a", "b"], rounds=1, trees=4, depth=5)
+    two, report = impute.forest_impute_columns(df, ["a", "b"], ["a", "b", "c"], min_r2=-9.0, rounds=1, trees=4, depth=5)
+    assert status.first()["status"] == "imputed" and [r["status"] for r in report.collect()] == ["imputed"] * 2
+    for out in (one, two):
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["idx"]: r for r in out.collect()}
+        assert out.columns == df.columns and len(got) == 400 and got["r5"]["c"] is None
+        assert all(r[2] == got[r[0]]["a"] for r in rows if r[2] is not None) and all(r["a"] is not None and r["b"] is not None for r in got.values())
+
+
+def test_subject_imputation_does_not_depend_on_batches(spark):
+    day, rng = dt.date(2024, 1, 1), np.random.default_rng(4)
+    rows = [(s, day + dt.timedelta(d), float(d), float(rng.normal()) if d % 4 else None, float(d * s)) for s in range(9) for d in range(24)]
+    panel = spark.createDataFrame(rows, "num_id long, dt date, a double, b double, c double")
+    run = lambda: impute.forest_impute_subjects(panel, ["a", "b", "c"], min_r2=-9.0, trees=4, rounds=2)
+    whole = sorted(run().collect())
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        cut = sorted(run().collect())
+    finally:
+        spark.conf.set(name, before)
+    assert whole == cut and len(whole) == 9 * 24 and {r["imputed"] for r in whole} == {1.0}
+    assert run().select(F.spark_partition_id()).distinct().count() > 1
