@@ -215,3 +215,82 @@ def test_subject_imputation_does_not_depend_on_batches(spark):
         spark.conf.set(name, before)
     assert whole == cut and len(whole) == 9 * 24 and {r["imputed"] for r in whole} == {1.0}
     assert run().select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_comparison_runs_the_whole_study(spark, monkeypatch):
+    """All nine classifiers, ten folds, and learners of the study's size."""
+    from cohortflow.plans import fixtures, q_models
+
+    monkeypatch.setattr(fixtures, "two_class", lambda *_: spark.range(1))
+    monkeypatch.setattr(q_models, "round_doubles", lambda x: x)
+    asked = {}
+    monkeypatch.setattr(models, "compare_classifiers", lambda *args, **more: asked.update(more))
+    q_models.md_compare(spark, "nowhere")
+    assert asked.get("folds", 10) == 10 and asked.get("models") is None
+    own = models._learners(False, 1)
+    assert own["forest"].getNumTrees() == 100 and own["boosting"].getMaxIter() == 100
+    assert own["svm"].getMaxIter() == 1000 and own["logistic"].getMaxIter() == 2000
+    assert {"logistic", "tree", "forest", "bagging", "svm", "boosting", "bayes"} == set(own)
+
+
+def test_comparison_scores_every_fold(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 2))
+    rows = [(i, float(a), float(b), int(a > 0.2)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y int")
+    got = {r["model"]: r["accuracy"] for r in models.compare_classifiers(df, ["a", "b"], "y", ["k"], folds=3, models=["tree", "knn", "adaboost", "bayes"]).collect()}
+    assert list(got) == ["tree", "knn", "adaboost", "bayes"] and all(0.8 < a <= 1 for a in got.values())
+
+
+def test_shared_boosting_equals_plain_boosting(spark):
+    """Each fold boosted by itself on plain arrays, three classes."""
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, (150, 2)).astype(float)
+    y = (x[:, 0] > 7).astype(int) + ((x[:, 1] > 5) & (x[:, 0] > 3)).astype(int)
+    y = np.where(rng.random(150) < 0.15, rng.integers(0, 3, 150), y)
+    fold = np.arange(150) % 3
+    df = spark.createDataFrame([(x[i].tolist(), float(y[i]), int(fold[i])) for i in range(150)], "v array<double>, y double, fold int")
+    got = models._adaboost_folds(df.withColumn("features", array_to_vector("v")).repartition(4), [0, 1, 2], 3, 6)
+    hits = 0
+    for f in range(3):
+        a, b, own = x[fold != f], y[fold != f], np.ones((fold != f).sum())
+        votes = np.zeros(((fold == f).sum(), 3))
+        for _ in range(6):
+            best = (-1.0, None)
+            for k in range(2):
+                for cut in np.unique(x[:, k])[:-1]:
+                    left = a[:, k] <= cut
+                    sides = [np.bincount(b[s], own[s], 3) for s in (left, ~left)]
+                    if all(s.sum() > 0 for s in sides):
+                        purity = sum((s**2).sum() / s.sum() for s in sides)
+                        if purity > best[0] * (1 + 1e-12):
+                            best = (purity, (k, cut, *(s.argmax() for s in sides)))
+            k, cut, one, two = best[1]
+            guess = np.where(a[:, k] <= cut, one, two)
+            error = own[guess != b].sum() / own.sum()
+            if error >= 1 - 1 / 3:
+                break
+            alpha = np.log((1 - error) / error) + np.log(2)
+            own = own * np.where(guess != b, np.exp(alpha), 1)
+            own *= len(own) / own.sum()
+            t = x[fold == f]
+            votes[np.arange(len(t)), np.where(t[:, k] <= cut, one, two)] += alpha
+        hits += (votes.argmax(axis=1) == y[fold == f]).sum()
+    assert got == pytest.approx(hits / 150)
+
+
+def test_cells_find_the_nearest_of_all(spark, monkeypatch):
+    """Small cells, many equal points, a fold that fills its own corner."""
+    monkeypatch.setattr(models, "CELL_ROWS", 8)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.integers(0, 9, (160, 3)).astype(float), np.zeros((40, 3)), rng.normal(30, 0.5, (40, 3))])
+    y, fold = rng.integers(0, 3, 240), np.where(np.arange(240) < 200, np.arange(240) % 4, 9)
+    ids = rng.permutation(240)
+    df = spark.createDataFrame([(int(ids[i]), x[i].tolist(), int(y[i]), int(fold[i])) for i in range(240)], "item long, vec array<double>, y int, fold int")
+    got = {r["item"]: r["prediction"] for r in models.knn_cross_predict(df, "item", "vec", "y", "fold", 5).collect()}
+    assert len(got) == 240
+    for i in range(240):
+        order = sorted((j for j in range(240) if fold[j] != fold[i]), key=lambda j: (np.sqrt(np.square(x[i] - x[j]).sum()), ids[j]))[:5]
+        assert got[ids[i]] == np.bincount(y[order], minlength=3).argmax()
