@@ -146,6 +146,46 @@ def test_row_kmeans_is_lloyd_on_the_distance_matrix(points, monkeypatch):
     assert (np.square(d[:, None] - centres[None]).sum(axis=2).argmin(axis=1) == got).all()
 
 
+@pytest.mark.parametrize("few", [0, 4096])
+def test_row_kmeans_takes_the_matrix_once_a_round(spark, monkeypatch, few):
+    """The matrix once for the start, once for the first sums, then once a round; sums of moved points lead to plain Lloyd steps."""
+    x = np.random.default_rng(5).uniform(-1, 1, (90, 3))
+    d, w = matrix(x, "dtw"), np.ones(90)
+    first = int(np.round(d.sum(axis=1), 9).argmax())
+    label, rounds = np.where(d[:, first] <= d[:, np.round(d[:, first], 9).argmax()], 0, 1), 0
+    while True:
+        rounds += 1
+        centres = np.array([d[label == c].mean(axis=0) for c in range(2)])
+        fresh = np.square(d[:, None] - centres[None]).sum(axis=2).argmin(axis=1)
+        if (fresh == label).all():
+            break
+        label = fresh
+    asked = []
+    whole = cluster.distance_products
+    monkeypatch.setattr(cluster, "distance_products", lambda *a, **k: asked.append(1) or whole(*a, **k))
+    monkeypatch.setattr(cluster, "FEW", few)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = cluster.distance_row_kmeans(df, "id", "vec", 2, "dtw").toPandas().sort_values("id")["cluster"].to_numpy()
+    assert rounds > 1 and len(asked) == 2 + rounds
+    assert (got == (label != label[0])).all()
+
+
+def test_scaling_takes_few_steps(spark, monkeypatch):
+    """More spare columns find the same coordinates in fewer products with the matrix."""
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    asked = []
+    whole = cluster.distance_products
+    monkeypatch.setattr(cluster, "distance_products", lambda *a, **k: asked.append(1) or whole(*a, **k))
+    place = lambda: np.stack(cluster.classical_scaling(df, "id", "vec", "dtw").toPandas().sort_values("id")["embedding"])
+    many = place()
+    steps = len(asked)
+    monkeypatch.setattr(cluster, "SPARE", 2)
+    few = place()
+    assert steps < len(asked) - steps
+    assert np.allclose(many, few, atol=1e-5)
+
+
 @pytest.mark.parametrize("linkage", cluster.LINKAGES)
 @pytest.mark.parametrize("metric", ["euclidean", "dtw"])
 def test_subject_linkages(points, monkeypatch, linkage, metric):
